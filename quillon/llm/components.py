@@ -45,8 +45,10 @@ def spanning_links(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray | N
 
     ``rows`` and ``columns`` are the ids of its sides; no ``columns``: both sides are ``rows``.
     """
-    if not linked.any():
+    r, c = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    if not len(r):
         return rows[:0], rows[:0]
+    linked, rows, columns = linked[np.ix_(r, c)], rows[r], None if columns is None else columns[c]
     label = np.arange(len(rows))
     side = label if columns is None else np.full(len(columns), len(rows))
     while True:

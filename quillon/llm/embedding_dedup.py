@@ -63,12 +63,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     compared. Rows that share an id are rows of their own. Other columns are ignored; an
     empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     marked = base.withColumn("sound", F.coalesce(sound, F.lit(False)))
     texts = checkpointed(marked.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    n, lengths = texts.agg(F.count("*"), F.collect_set(F.size("v"))).first()
+    # cells divide the largest label: more of them would only make more borders to visit across
+    n = texts.groupBy("label").count().agg(F.max("count")).first()[0]
+    lengths = texts.agg(F.collect_set(F.size("v"))).first()[0]
     parts = [_linked(texts.where(F.size("v") == d), d, n, threshold) for d in sorted(lengths)]
     if not parts:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
