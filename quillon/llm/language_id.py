@@ -95,8 +95,12 @@ def learn(docs: DataFrame, learnable: Column) -> Model:
     usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
     chance = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) + 1) / float(1 << 40)
-    drawn = usable.join(sizes, "lang").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), (-F.log(chance) * F.col("n")).alias("turn"))
-    rows = drawn.orderBy("turn", "lang", "text").limit(SAMPLE).collect()
+    # one row for each language, and sent only while languages are as few as they are
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    drawn = usable.join(sizes, "lang").withColumn("turn", -F.log(chance) * F.col("n"))
+    last = drawn.select("turn").orderBy("turn").limit(SAMPLE).agg(F.max("turn")).first()[0]
+    within = drawn.where(F.col("turn") <= F.lit(last)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "turn")
+    rows = within.orderBy("turn", "lang", "text").limit(SAMPLE).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

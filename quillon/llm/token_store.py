@@ -77,7 +77,13 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
 
     Too few or too small samples give an empty dictionary: frames then stand alone.
     """
-    chosen = docs.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
+    keyed = docs.select(F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b")).alias("k"), "text")
+    # the keys alone are sorted first, so that no partition sends SAMPLE_DOCS texts
+    last = keyed.select("k").orderBy("k").limit(SAMPLE_DOCS).agg(F.max("k").alias("k")).first()["k"]
+    if last is None:
+        return b""
+    within = keyed.where((F.col("k.a") < last["a"]) | (F.col("k.a") == last["a"]) & (F.col("k.b") <= last["b"]))
+    chosen = within.select("k", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy("k").limit(SAMPLE_DOCS).collect()
     encode = encoder(tokenizer)
     kind = _id_type(max(encode.size, end_id))
     end = np.array([end_id], kind).tobytes()
