@@ -30,7 +30,7 @@ from .word_encoder import encoder
 
 MAGIC, HEAD, ENTRY = b"QTS1", struct.Struct("<4s32sBQ"), np.dtype([("doc", "<i8"), ("has", "<u1"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u8")])
 #: Documents and bytes that train the dictionary, its size, and bytes of text in a shard, about.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, SHARD_BYTES = 600, 20_000, 32_768, 8_000_000
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, SHARD_BYTES = 600, 20_000, 32_768, 4_000_000
 LEVEL = 3
 
 
@@ -150,8 +150,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for base, image in zip(batch["base"].to_pylist(), batch["image"].to_pylist(), strict=True):
-                shard = Shard(image, dictionary)
+            for row in range(batch.num_rows):  # one image at a time
+                base, shard = batch["base"][row].as_py(), Shard(batch["image"][row].as_py(), dictionary)
                 ids = [shard.ids(i) for i in range(len(shard))]
                 n = np.array([len(i) for i in ids], np.int64)
                 yield pa.record_batch({"doc_id": pa.array(shard.index["doc"], mask=shard.index["has"] == 0), "start": pa.array(base + np.cumsum(n) - n), "n_tokens": pa.array(n), "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words, and pieces, that the cache holds at most.
-WORDS, PIECES = 600_000, 600_000
+WORDS, PIECES = 150_000, 200_000
 #: One-to-one lower case, composed, no special tokens: ASCII but "<", and Latin-1 letters.
 SIMPLE = re.compile("[\x21-\x3b\x3d-\x7eÀ-ÿ]+")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
