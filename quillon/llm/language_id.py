@@ -18,11 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import wordhash as W
+from .cluster import give_back
 
 SPECTRUM, FEATURES = 3, 1 << 14
 #: Bounds of the sample that is learned from, and of the landmarks in it.
 SAMPLE, LANDMARKS, SAMPLE_CHARS = 2_000, 128, 4_000
 RIDGE, SHARPNESS, ROWS = 1e-2, 8.0, 128
+#: Bytes of text that are looked at together, in one or in several texts.
+SPAN = 1 << 20
 UNDETERMINED = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -35,16 +38,19 @@ def presence(column) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, FEATURES), np.float32)
     flat = out.reshape(-1)
-    data = _PLAIN[data].astype(np.uint32)
-    owner = np.repeat(np.arange(n, dtype=np.int64) * FEATURES, np.diff(offsets))
-    gram = np.zeros(len(data), np.uint32)
-    for k in range(1, SPECTRUM + 1):
-        gram = gram[: len(data) - k + 1] * np.uint32(256) + data[k - 1 :]
-        if not len(gram):
-            break
-        cell = ((gram + np.uint32(k << 24)) * np.uint32(2654435761)) >> np.uint32(18)
-        inside = owner[: len(gram)] == owner[k - 1 :]
-        flat[(owner[: len(gram)] + cell)[inside]] = 1
+    for a in range(0, len(data), SPAN):
+        # n-grams that reach into a span begin in the bytes before it; presence can be set twice
+        a, b = max(0, a - SPECTRUM + 1), min(len(data), a + SPAN)
+        part = _PLAIN[data[a:b]].astype(np.uint32)
+        owner = np.repeat(np.arange(n, dtype=np.int64) * FEATURES, np.diff(np.clip(offsets, a, b)))
+        gram = np.zeros(len(part), np.uint32)
+        for k in range(1, SPECTRUM + 1):
+            gram = gram[: len(part) - k + 1] * np.uint32(256) + part[k - 1 :]
+            if not len(gram):
+                break
+            cell = ((gram + np.uint32(k << 24)) * np.uint32(2654435761)) >> np.uint32(18)
+            inside = owner[: len(gram)] == owner[k - 1 :]
+            flat[(owner[: len(gram)] + cell)[inside]] = 1
     return out
 
 
@@ -131,6 +137,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names = pa.array([model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)], pa.string())
                 out = {"doc_id": part["_doc_id"], "lang_pred": names, "score": pa.array(np.where(letters, score, 0.0))}
                 yield pa.record_batch(out | {f"kept_{i}": part[f"kept_{i}"] for i in range(len(keep))})
+        give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = "doc_id long, lang_pred string, score double" + "".join(f", kept_{i} {kind}" for i, (_, kind) in enumerate(base.dtypes[2:]))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import wordhash as W
-from .cluster import checkpointed
+from .cluster import checkpointed, give_back
 from .components import connected_components, spanning_links
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
@@ -115,6 +115,7 @@ def _signed(batches):
                 bands = W.mix(bands * W.U64(0xA0761D6478BD642F) + signature[:, r::ROWS])
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]), pa.int32()), pa.array(bands[sizes > 0].reshape(-1).view(np.int64)))
             yield pa.record_batch({"doc_id": piece["doc_id"].combine_chunks(), "text_hash": piece["text_hash"].combine_chunks(), "print": pa.array(whole.view(np.int64), mask=counts == 0), "n": pa.array(sizes, pa.int32()), "bands": flat})
+    give_back()
 
 
 def _sets(batches):
@@ -125,6 +126,7 @@ def _sets(batches):
             own = whole.view(np.int64) == piece["print"].to_numpy()  # another text may have the same id
             out = pa.table({c: piece[c] for c in ("print", "cluster", "blocks")} | {"shingles": pa.array([sets[b - s : b].tobytes() for b, s in zip(ends, sizes, strict=True)], pa.binary())})
             yield from out.filter(pa.array(own)).to_batches()
+    give_back()
 
 
 def _overlap(flat: np.ndarray, who: np.ndarray, n: int, cut: int | None) -> np.ndarray:

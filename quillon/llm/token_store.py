@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import wordhash as W
-from .cluster import checkpointed, width
+from .cluster import checkpointed, give_back, width
 from .word_encoder import encoder
 
 MAGIC, HEAD, ENTRY = b"QTS1", struct.Struct("<4s32sBQ"), np.dtype([("doc", "<i8"), ("has", "<u1"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u8")])
@@ -129,6 +129,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                     held, size = [], 0
         if held:
             yield image()
+        del held
+        give_back()
 
     ordered = base.repartitionByRange(width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(shards, "first long, part int, n_ids long, image binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
@@ -155,6 +157,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = [shard.ids(i) for i in range(len(shard))]
                 n = np.array([len(i) for i in ids], np.int64)
                 yield pa.record_batch({"doc_id": pa.array(shard.index["doc"], mask=shard.index["has"] == 0), "start": pa.array(base + np.cumsum(n) - n), "n_tokens": pa.array(n), "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})
+        give_back()
 
     return placed.select("base", "image").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
