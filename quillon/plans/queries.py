@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillon.functions.text import query_terms, terms, tokens
 from quillon.operators import search
 
+from . import flows
 from .engine import Engine, statistics
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "conversations")
@@ -259,3 +260,5 @@ ORACLES = {k: v[1] for k, v in PAIRS.items()} | {
     "bovw_tfidf": f"WITH h AS (SELECT * FROM {_HIST}) SELECT label, word, round(n / sum(n) OVER (PARTITION BY label)::DOUBLE * ln((SELECT count(DISTINCT label) FROM h)::DOUBLE / count(*) OVER (PARTITION BY word)), 9) AS weight FROM h",
     "analyze_stats": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest, 0.0e0 AS null_fraction FROM customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment")),
 }
+QUERIES |= flows.QUERIES
+ORACLES |= flows.ORACLES
