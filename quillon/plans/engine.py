@@ -7,6 +7,7 @@ warehouse path. A change writes a new version; readers keep the one they opened.
 from __future__ import annotations
 
 import datetime
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from quillon.functions.spatial import distance, in_polygon, radius_box
 from quillon.operators import search
 
 from .dialect import parse
+from .locks import Locks, LockTimeout
 
 TYPES = {"INT": T.IntegerType(), "FLOAT": T.FloatType(), "VARCHAR": T.StringType(), "DATE": T.StringType(), "TEXT": T.StringType(), "POINT": T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]), "VECTOR": T.ArrayType(T.FloatType())}
 NUMBERS = ("INT", "FLOAT")
@@ -65,9 +67,26 @@ def _kind(data: T.DataType) -> str:
     return "POINT" if isinstance(data, T.StructType) else "TEXT"
 
 
+def _schema(columns: list[dict]) -> T.StructType:
+    return T.StructType([*[T.StructField(c["name"], TYPES[c["type"]]) for c in columns], T.StructField(RID, T.LongType())])
+
+
+def _touched(s: dict) -> dict[str, str]:
+    """The tables that a statement reads (shared), searches for rows to change (update) or changes."""
+    if s["kind"] == "explain":
+        found = _touched(s["statement"])
+        return found if s["analyze"] else dict.fromkeys(found, "PS")
+    if s["kind"] == "select":
+        return {source["table"]: "PS" for source in s["sources"]}
+    if s["kind"] in ("update", "delete"):
+        return {s["table"]: "PU"}
+    return {s[k]: "PX" for k in ("table",) if k in s} | ({s["name"]: "PX"} if s["kind"] == "drop_table" else {})
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, warehouse: str | None = None, parameters: dict[str, tuple[float, float]] | None = None):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None, parameters: dict[str, tuple[float, float]] | None = None, locks: Locks | None = None):
         self.spark, self.warehouse, self.parameters = spark, warehouse, parameters or {}
+        self.locks = locks or Locks()
         self.tables: dict[str, Table] = {}
         self.open = False
 
@@ -85,11 +104,35 @@ class Engine:
         out = []
         for s in parse(text):
             try:
+                for table, mode in _touched(s).items():
+                    self.locks.acquire(self, table, mode)
                 out.append(getattr(self, f"_do_{s['kind']}")(s))
-            except SemanticError as e:
+            except (SemanticError, LockTimeout) as e:
                 out.append(Result(s["kind"], error=str(e)))
+            finally:
+                if not self.open:
+                    self.locks.release(self)
         return out
 
+    def save(self, path: str) -> None:
+        """Write what is known of the managed tables to a new folder; their rows stay where they are.
+
+        Locks hold between engines that share them only: one driver at a time changes a warehouse.
+        """
+        known = [{"name": t.name, "columns": t.columns, "version": t.version, "layout": t.layout, "indexes": t.indexes, "statistics": t.statistics} for t in self.tables.values() if t.managed]
+        self.spark.sql("select 1").select(F.lit(json.dumps({"warehouse": self.warehouse, "tables": known}, default=str)).alias("value")).write.text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, **options) -> Engine:
+        """An engine with the tables that ``save`` has written to ``path``."""
+        saved = json.loads(spark.read.text(path).first()["value"])
+        engine = cls(spark, saved["warehouse"], **options)
+        for t in saved["tables"]:
+            schema = _schema(t["columns"])
+            frame = spark.read.schema(schema).parquet(f"{saved['warehouse']}/{t['name']}/v{t['version']}") if t["version"] else spark.createDataFrame([], schema)
+            engine.tables[t["name"]] = Table(t["name"], t["columns"], frame, True, t["version"], t["layout"], t["indexes"], t["statistics"])
+        return engine
+
     # queries
     def _table(self, name: str) -> Table:
         if name not in self.tables:
@@ -240,7 +283,7 @@ class Engine:
             raise SemanticError("a column stands twice")
         if any(c["key"] and c["type"] in ("POINT", "TEXT", "VECTOR") for c in s["columns"]):
             raise SemanticError("a key is a number, a VARCHAR or a DATE")
-        schema = T.StructType([*[T.StructField(c["name"], TYPES[c["type"]]) for c in s["columns"]], T.StructField(RID, T.LongType())])
+        schema = _schema(s["columns"])
         self.tables[s["table"]] = Table(s["table"], s["columns"], self.spark.createDataFrame([], schema), True, 0, s["using"] or "HASH")
         return Result("create_table", affected=0)
 
@@ -274,6 +317,7 @@ class Engine:
     def _write(self, table: Table, frame: DataFrame) -> None:
         if not self.warehouse:
             raise SemanticError("changes need a warehouse folder")
+        self.locks.acquire(self, table.name, "PX")
         path = f"{self.warehouse}/{table.name}/v{table.version + 1}"
         frame.write.mode("overwrite").parquet(path)
         table.version += 1

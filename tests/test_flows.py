@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import gallery, pages
+from quillon.plans.engine import Engine
+from quillon.plans.locks import Locks, LockTimeout
 from quillon.sources.csv_table import CsvError, read_csv
 
 
@@ -48,3 +50,35 @@ def test_gallery(spark, tmp_path):
     assert gallery.reservoir(d, "at", 5).count() == 5
     book = gallery.save_codebook(spark, str(tmp_path / "book"), "sift", [[0.5, 1.0]])
     assert gallery.load_codebook(spark, str(tmp_path / "book"))["vocabulary_id"] == book
+
+
+def test_locks():
+    locks, one, two = Locks(), object(), object()
+    locks.acquire(one, "t", "PS")
+    locks.acquire(two, "t", "PU")
+    with pytest.raises(LockTimeout):
+        locks.acquire(one, "t", "PX", seconds=0.05)
+    locks.release(two)
+    locks.acquire(one, "t", "PX")
+    locks.acquire(one, "t", "PS")
+    assert locks.held(one) == {"t": "PX"} and locks.held(two) == {}
+    with pytest.raises(LockTimeout):
+        locks.acquire(two, "t", "PS", seconds=0.05)
+    locks.release(one)
+    locks.acquire(two, "t", "PX")
+
+
+def test_transactions_and_saved_tables(spark, tmp_path):
+    locks = Locks()
+    a, b = Engine(spark, str(tmp_path / "w"), locks=locks), Engine(spark, locks=locks)
+    done = a.sql("CREATE TABLE t (id INT PRIMARY KEY, p POINT, n VARCHAR(3)); CREATE TABLE u (k INT); CREATE INDEX i ON t (n) USING HASH; INSERT INTO t VALUES (1, POINT(1, 2), 'a'); BEGIN TRANSACTION; DELETE FROM t WHERE id > 1")
+    assert not [r.error for r in done if r.error] and locks.held(a) == {"t": "PU"}
+    assert a.sql("UPDATE t SET n = 'a' WHERE id = 1")[0].affected == 1 and locks.held(a) == {"t": "PX"}
+    a.sql("END TRANSACTION")
+    assert locks.held(a) == {}
+    a.save(str(tmp_path / "catalogue"))
+    again = Engine.load(spark, str(tmp_path / "catalogue"))
+    assert [r.id for r in again.query("SELECT id FROM t WHERE n = 'a'").collect()] == [1] and again.query("SELECT k FROM u").count() == 0
+    assert again.tables["t"].indexes.keys() == {"i"}
+    assert again.sql("INSERT INTO t VALUES (1, NULL, 'b')")[0].error and not again.sql("INSERT INTO t VALUES (2, NULL, 'b')")[0].error
+    assert again.query("SELECT id FROM t").count() == 2 and a.query("SELECT id FROM t").count() == 1
