@@ -138,3 +138,16 @@ def test_language_and_toxicity(spark):
     chain = toxicity.train(t, t.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).where("doc_id < 200"))
     flagged = {r.doc_id for r in toxicity.score_toxicity(t, chain).where("is_toxic").collect()}
     assert flagged == {i for i in range(300) if i % 3 == 0}
+
+
+def test_presence_does_not_depend_on_the_span(monkeypatch):
+    texts = ["Über das Land, weit", "", "ab", "a" * 30 + " zq", "lo mi 12 tu"]
+    whole = language_id.presence(texts_of(texts))
+    monkeypatch.setattr(language_id, "SPAN", 5)
+    assert (language_id.presence(texts_of(texts)) == whole).all() and whole.sum() > 50
+
+
+def texts_of(texts):
+    import pyarrow as pa
+
+    return pa.array(texts)
