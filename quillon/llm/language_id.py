@@ -77,11 +77,11 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     y = np.array([names.index(x) for x in languages])
     each = max(1, LANDMARKS // len(names))
     chosen = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(names))])[:LANDMARKS]
-    held = _scaled(np.concatenate([presence(pa.array(texts[i : i + ROWS])) for i in range(0, len(texts), ROWS)]))
-    landmarks = held[chosen].T.copy()
+    landmarks = _scaled(presence(pa.array([texts[i] for i in chosen]))).T.copy()
     value, vector = np.linalg.eigh((landmarks.T @ landmarks).astype(float))
     white = vector / np.sqrt(np.maximum(value, 1e-6))
-    phi = (held @ landmarks).astype(float) @ white
+    # the driver holds the n-grams of ROWS texts at a time, as the tasks do
+    phi = np.concatenate([(_scaled(presence(pa.array(texts[i : i + ROWS]))) @ landmarks).astype(float) @ white for i in range(0, len(texts), ROWS)])
     mean = phi.mean(0)
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1.0 / np.bincount(y, minlength=len(names))[y]  # each language counts alike
@@ -107,7 +107,10 @@ def learn(docs: DataFrame, learnable: Column) -> Model:
     last = drawn.select("turn").orderBy("turn").limit(SAMPLE).agg(F.max("turn")).first()[0]
     within = drawn.where(F.col("turn") <= F.lit(last)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "turn")
     rows = within.orderBy("turn", "lang", "text").limit(SAMPLE).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
