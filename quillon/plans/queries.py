@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.functions.text import query_terms, terms, tokens
-from quillon.operators import search
+from quillon.operators import codebook, search
 
 from . import flows
 from .engine import Engine, statistics
@@ -212,12 +212,19 @@ def kmeans_codebook(spark, sf_dir):
     return index.groupBy("cell").agg(F.count("*").alias("n"))
 
 
+def lloyd_round(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    centres = np.array([r["embedding"] for r in vectors.where("vec_id < 8").orderBy("vec_id").collect()], float)
+    met = codebook.lloyd_round(vectors, "embedding", centres)
+    return met.select("word", "n", F.round("inertia", 6).alias("inertia"), F.round(F.col("total")[0] / F.col("n"), 9).alias("first"))
+
+
 def analyze_stats(spark, sf_dir):
     frame = _read(spark, sf_dir, "customer")
     return statistics(frame.select("c_custkey", "c_nationkey", "c_mktsegment"), [("c_custkey", "INT"), ("c_nationkey", "INT"), ("c_mktsegment", "TEXT")]).select("column", "n_distinct", "least", "greatest", "null_fraction")
 
 
-FUNCTIONS = {f.__name__: f for f in (group_by_point, text_tokens, text_lexicon, match_filtered, text_stemmed_bm25, ivf_full_probes_equals_exact, ivf_recall, graph_recall, chunk_words, rrf_fusion, last_three_user_turns, best_per_group, threshold_curve, retrieval_metrics, frequent_top_n, bovw_histogram, bovw_tfidf, kmeans_codebook, analyze_stats)}
+FUNCTIONS = {f.__name__: f for f in (group_by_point, text_tokens, text_lexicon, match_filtered, text_stemmed_bm25, ivf_full_probes_equals_exact, ivf_recall, graph_recall, chunk_words, rrf_fusion, last_three_user_turns, best_per_group, threshold_curve, retrieval_metrics, frequent_top_n, bovw_histogram, bovw_tfidf, kmeans_codebook, lloyd_round, analyze_stats)}
 FUNCTIONS |= {"bm25": _match("BM25"), "bm25_params": _match("BM25", k1=2.0, b=0.1), "tfidf": _match("TF_IDF"), "knn_cosine": _nearest("cosine"), "knn_euclidean": _nearest("euclidean"), "knn_dot": _nearest("dot"), "knn_vector_filtered": _nearest("cosine", "label = 3")}
 QUERIES = {k: _sql(v[0]) for k, v in PAIRS.items()} | FUNCTIONS
 
@@ -258,6 +265,7 @@ ORACLES = {k: v[1] for k, v in PAIRS.items()} | {
     "frequent_top_n": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20",
     "bovw_histogram": f"SELECT label, word, n FROM {_HIST}",
     "bovw_tfidf": f"WITH h AS (SELECT * FROM {_HIST}) SELECT label, word, round(n / sum(n) OVER (PARTITION BY label)::DOUBLE * ln((SELECT count(DISTINCT label) FROM h)::DOUBLE / count(*) OVER (PARTITION BY word)), 9) AS weight FROM h",
+    "lloyd_round": f"WITH a AS (SELECT c.vec_id::INT AS word, {_V.replace('embedding', 'e.embedding')} AS v, list_distance({_V.replace('embedding', 'e.embedding')}, {_V.replace('embedding', 'c.embedding')}) AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY d, c.vec_id) AS r FROM embeddings e, embeddings c WHERE c.vec_id < 8) SELECT word, count(*) AS n, round(sum(d * d), 6) AS inertia, round(avg(v[1]), 9) AS first FROM a WHERE r = 1 GROUP BY word",
     "analyze_stats": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest, 0.0e0 AS null_fraction FROM customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment")),
 }
 QUERIES |= flows.QUERIES
