@@ -125,6 +125,27 @@ def test_licenses(spark, docs):
     assert [(r.doc_id, r.license, r.first_word, r.last_word) for r in found] == [(30, "mit-text", 2, len(words) + 1)]
 
 
+def test_licenses_in_comments(spark):
+    import textwrap
+
+    rows = {}
+    for i, (name, text) in enumerate(sorted(license_scan.TEMPLATES.items())):
+        lines = textwrap.wrap(text, 72)
+        rows[3 * i] = (name, "import x\n" + "\n".join(f"# {x}" for x in lines) + "\ny = 1")
+        rows[3 * i + 1] = (name, "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */")
+        rows[3 * i + 2] = (name, f"\u201c{text.rstrip('.')}\u201d, (\u00a9 \U0001f642) says \u00fcber.")
+    d = spark.createDataFrame([(k, v[1]) for k, v in rows.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.license): r for r in license_scan.license_scan(d).collect()}
+    for k, (name, text) in rows.items():
+        r, words = found[k, name], text.split()
+        assert r.containment == 1.0
+        bare = license_scan._plain(license_scan.TEMPLATES[name])
+        held = license_scan._plain(" ".join(words[r.first_word : r.last_word + 1]))
+        assert held[:5] == bare[:5] and held[-5:] == bare[-5:]
+    d = spark.createDataFrame([(i, f"x (Released under the MIT License{end} y") for i, end in enumerate(("", ",", ")", "."))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.first_word, r.last_word) for r in license_scan.license_scan(d).collect()) == [(i, "mit-notice", 1, 5) for i in range(4)]
+
+
 def test_language_and_toxicity(spark):
     words = {"aa": "lo mi tu ra".split(), "bb": "kex wop zut fiz".split()}
     rng = np.random.default_rng(1)
