@@ -161,6 +161,18 @@ def test_language_and_toxicity(spark):
     assert flagged == {i for i in range(300) if i % 3 == 0}
 
 
+def test_toxicity_on_a_wide_vocabulary(spark):
+    """600 telling words, each in about four learned texts, and none in a list."""
+    rng = np.random.default_rng(5)
+    words = ["lo", "mi", "tu", "ra", "sen", "pol", "gat", "vim"]
+    telling = [rng.choice([f"z{j}" for j in range(600)], 4).tolist() if i % 2 == 0 else [] for i in range(1500)]
+    d = spark.createDataFrame([(i, " ".join([*rng.choice(words, 6), *rng.choice([f"u{j}" for j in range(3000)], 6), *telling[i]])) for i in range(1500)], "doc_id long, text string")
+    chain = toxicity.train(d, d.where("doc_id < 1200").selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) toxic"))
+    assert chain.width > 600 and [np.ptp(w) > 0 for w in chain.links] == [True] * 3
+    new = {r.doc_id: r.is_toxic for r in toxicity.score_toxicity(d.where("doc_id >= 1200"), chain).collect()}
+    assert sum(new[i] for i in new if i % 2 == 0) >= 105 and sum(new[i] for i in new if i % 2) <= 15
+
+
 def test_presence_does_not_depend_on_the_span(monkeypatch):
     texts = ["Über das Land, weit", "", "ab", "a" * 30 + " zq", "lo mi 12 tu"]
     whole = language_id.presence(texts_of(texts))
