@@ -5,11 +5,12 @@ size. Each document of a source expects ``target / size of the source`` copies.
 fixed order the expected copies are summed up, one random offset is added for the source,
 and a document is emitted once for each whole number that its step crosses.
 
-The order is by size within chunks that a hash makes, up and down in turn, so neighbours are
-alike and the words taken come near the target; chunks hold about CHUNK documents whatever
-the source holds, so a hot source is many tasks. Expected copies are equal in a source, so
-the sum up to a document is its rank times the rate; ranks are those in its chunk plus the
-rows of the chunks before, which are counted beforehand.
+The order is by size, id and print in every source, so neighbours are alike and the words
+taken come near the target. Expected copies are equal in a source, so the sum up to a
+document is its rank times the rate. A source of over CHUNK rows is ranked in ranges of that
+order, so that a hot source is many tasks: ranges are parted by keys that a hash draws from
+the source's own rows, of about CHUNK rows or a PARTSth of the source; a rank is the one in
+the range plus the rows of the ranges before, which are counted beforehand.
 
 DataFrame operations only.
 """
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .cluster import checkpointed
 
 WEIGHTS, SHARE, MOST, CHUNK, SEED = (5, 2, 1), 1.5, 2, 5_000, "mix-1"
+#: Ranges of a source at most, and keys drawn for each range, of which one is taken.
+PARTS, DRAWN = 1_000, 8
 #: Sources, and chunks, up to which their sums are sent to every task (some 10 MB).
 SENT = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,19 +69,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = _share(light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), weights, share, most)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 2**32
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = sources.withColumn("rate", rate).withColumn("offset", offset).withColumn("chunks", F.ceil(F.col("source_rows") / CHUNK).cast("long"))
-    sent = sources if sources.count() > SENT else F.broadcast(sources)
-    chunk = F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks"))
+    sources = sources.withColumn("rate", rate).withColumn("offset", offset)
+    # a struct's order has no nulls in it
+    key = F.struct("size", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "print")
+    large = sources.where(F.col("source_rows") > CHUNK).select(F.col("source").alias("_source"), F.greatest(F.lit(CHUNK / DRAWN), F.col("source_rows") / (PARTS * DRAWN)).alias("every"))
+    draw = F.pmod(F.xxhash64("doc_id", "size", "print"), F.lit(1 << 40)) < F.lit(float(1 << 40)) / F.col("every")
+    drawn = light.join(F.broadcast(large) if large.count() <= SENT else large, F.col("source").eqNullSafe(F.col("_source"))).where(draw)
+    keys = F.filter(F.sort_array(F.collect_set(key)), lambda _, i: i % DRAWN == DRAWN - 1)
+    parted = checkpointed(drawn.groupBy("_source").agg(keys.alias("keys")))
+    sources = sources.join(parted, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    sent = sources if sources.count() + (parted.agg(F.sum(F.size("keys"))).first()[0] or 0) > SENT else F.broadcast(sources)
+    chunk = F.when(F.col("keys").isNull(), 0).otherwise(F.size(F.filter("keys", lambda k: k <= key)))
 
     def placed(df: DataFrame) -> DataFrame:
         joined = df.join(sent.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        return joined.withColumn("chunk", chunk)
+        return joined.withColumn("chunk", chunk).drop("keys")
 
     counts = placed(light).groupBy("source", "chunk").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("source").alias("_source"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    turned = F.when(F.col("chunk") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    order = Window.partitionBy("source", "chunk").orderBy(turned, F.col("doc_id").asc_nulls_first(), "print")
+    order = Window.partitionBy("source", "chunk").orderBy("size", F.col("doc_id").asc_nulls_first(), "print")
     ranked = placed(base).withColumn("rank", F.row_number().over(order) - 1)
     ranked = ranked.join(starts if starts.count() > SENT else F.broadcast(starts), F.col("source").eqNullSafe(F.col("_source")) & (F.col("chunk") == F.col("_chunk")))
     at = F.col("rank") + F.col("ahead")

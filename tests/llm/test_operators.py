@@ -68,6 +68,23 @@ def test_mixing(spark):
     assert mixing.mixed(d).columns == d.columns and mixing.mixed(d.limit(0)).count() == 0
 
 
+def test_mixing_takes_the_documents_of_its_sql(spark):
+    """Sources over CHUNK rows, one of them null, null ids and repeated rows."""
+    import duckdb
+    import pyarrow as pa
+
+    from quillon.llm.queries import ORACLES
+
+    rows = [(i if i % 1000 else None, "w " * (i * 7 % 40), [None, "hot", "hot"][i % 3] if i % 50 else "few") for i in range(17_000)]
+    rows += rows[:30]
+    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    mine = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.size * r.copies) for r in taken.collect()]
+    db = duckdb.connect()
+    db.register("documents", pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows)), strict=True))))
+    theirs = [(a, b, c, round(d, 6), e) for a, b, c, d, e in db.execute(ORACLES["op5_mix_sources"]).fetchall()]
+    assert sorted(mine, key=str) == sorted(theirs, key=str)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 8))
