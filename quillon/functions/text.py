@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN = "([a-záéíóúñü]+)"
 VOWELS = "aeiouáéíóúü"
+#: The 608 Spanish words that a full-text search leaves out.
+STOPWORDS = files(__package__).joinpath("stoplist_es.txt").read_text("utf-8").split()
+#: How a full-text search makes terms, unless told otherwise.
+SPANISH = {"stopwords": STOPWORDS, "stem": True}
 
 
 def tokens(text: Column) -> Column:

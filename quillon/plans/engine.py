@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from quillon.functions.spatial import distance, in_polygon, radius_box
+from quillon.functions.text import SPANISH
 from quillon.operators import search
 
 from .dialect import parse
@@ -84,9 +85,11 @@ def _touched(s: dict) -> dict[str, str]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, warehouse: str | None = None, parameters: dict[str, tuple[float, float]] | None = None, locks: Locks | None = None):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None, parameters: dict[str, tuple[float, float]] | None = None, locks: Locks | None = None, analysis: dict | None = None):
+        """``analysis`` tells how MATCH makes terms: without stop words and of stems, or as ``terms`` takes it."""
         self.spark, self.warehouse, self.parameters = spark, warehouse, parameters or {}
         self.locks = locks or Locks()
+        self.analysis = SPANISH if analysis is None else analysis
         self.tables: dict[str, Table] = {}
         self.open = False
 
@@ -219,7 +222,7 @@ class Engine:
             if column["type"] not in ("TEXT", "VARCHAR") or not 0 <= options.get("B", 0.75) <= 1:
                 raise SemanticError("MATCH takes a text column, and B from 0 to 1")
             whole = table.frame.toDF(*[f"{alias}.{c}" for c in table.frame.columns]).select(F.col(f"`{first}`").alias("_d"), F.col(f"`{full}`").alias("_t"))
-            hits = search.match(whole, p["query"], "_d", "_t", method, options.get("K1", 1.2), options.get("B", 0.75))
+            hits = search.match(whole, p["query"], "_d", "_t", method, options.get("K1", 1.2), options.get("B", 0.75), **self.analysis)
             return frame.join(hits.select(F.col("doc").alias("_doc"), F.col("score").alias("_score")), F.col(f"`{first}`") == F.col("_doc")).drop("_doc"), "SCORE"
         vectors = [c for c in table.columns if c["type"] == "VECTOR"]
         if len(vectors) != 1 or not isinstance(p["query"], dict) or "vector" not in p["query"]:

@@ -29,3 +29,12 @@ def test_stems_and_polygons():
         checked_polygon([(0, 0), (1, 1), (1, 0), (0, 1)])
     with pytest.raises(ValueError):
         checked_polygon([(0, 0), (1, 1), (2, 2)])
+
+
+def test_match_drops_stop_words_and_stems(spark):
+    e = Engine(spark)
+    e.attach("t", spark.createDataFrame([(1, "Los bancos y la inflación"), (2, "el banco de la plaza"), (3, "y los de la")], "id int, x string"))
+    found = lambda q: {r.id for r in e.query(f"SELECT id, SCORE() AS s FROM t WHERE MATCH(x, '{q}')").collect()}
+    assert found("banco") == {1, 2} and found("inflaciones") == {1} and found("los de la") == set()
+    e.analysis = {}
+    assert found("banco") == {2} and found("los de la") == {1, 2, 3}
