@@ -31,7 +31,7 @@ def csv_infer(spark, sf_dir):
 
 
 def _nations(spark: SparkSession, sf_dir: str, change: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "nation").where("n_nationkey < 25").collect()  # a fixed dimension of 25 rows
+    rows = _read(spark, sf_dir, "nation").collect()  # a small dimension
     values = ", ".join(f"({r['n_nationkey']}, '{r['n_name']}', {r['n_regionkey']})" for r in rows)
     e = Engine(spark, _folder(spark))
     done = e.sql(f"CREATE TABLE nations (id INT PRIMARY KEY, name VARCHAR(40), region INT); INSERT INTO nations VALUES {values}; {change}")

@@ -82,3 +82,10 @@ def test_transactions_and_saved_tables(spark, tmp_path):
     assert again.tables["t"].indexes.keys() == {"i"}
     assert again.sql("INSERT INTO t VALUES (1, NULL, 'b')")[0].error and not again.sql("INSERT INTO t VALUES (2, NULL, 'b')")[0].error
     assert again.query("SELECT id FROM t").count() == 2 and a.query("SELECT id FROM t").count() == 1
+
+
+def test_changes_read_all_nations(spark, tmp_path):
+    from quillon.plans import flows
+
+    spark.createDataFrame([(3, "A", 0), (30, "B", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    assert sorted(r.id for r in flows.QUERIES["dml_insert_effect"](spark, str(tmp_path)).collect()) == [3, 30, 100, 101]
