@@ -7,8 +7,9 @@ of tokens after expansion are recorded. A turn is written as::
 
     <|im_start|>ROLE newline PARTS<|im_end|> newline
 
-Escapes are reversible: a backslash is doubled, and one is put inside each ``<|``, and
-before a line end in a role. No text can hold a mark that way, and dropping each backslash
+Escapes are reversible: a backslash is doubled, and one is put inside each ``<|``, before a
+``|`` that a part after the first begins with (the part before may end in ``<``), and
+before a line end in a role. No text can make a mark that way, and dropping each backslash
 before its neighbour gives the text back. The loss mask are spans of code points, one for
 each text part of an assistant turn.
 
@@ -64,7 +65,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         ahead = F.size(F.filter(F.slice("parts", 1, i), lambda q: F.coalesce(q["type"].isin(*PLACEHOLDERS), F.lit(False))))
         number = (F.col("number") + ahead).cast("long")
         mark = F.concat(F.lit("<|"), p["type"], F.lit(":"), number.cast("string"), F.lit("|>"))
-        return F.struct(F.when(is_attachment, mark).otherwise(escape(F.coalesce(p["text"], F.lit("")))).alias("out"), is_attachment.alias("attached"), number.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"))
+        text = escape(F.coalesce(p["text"], F.lit("")))
+        text = F.when((i > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
+        return F.struct(F.when(is_attachment, mark).otherwise(text).alias("out"), is_attachment.alias("attached"), number.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"))
 
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
     visited = numbered.withColumn("flat", F.transform("parts", visit)).withColumn("head", head)

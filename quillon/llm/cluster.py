@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder in ``spark.checkpoint.dir`` and cut its lineage.
 
-    Only a session without that setting (tests on one machine) gets a folder of its own.
+    Only a session on one machine may lack that setting; it gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 

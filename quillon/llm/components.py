@@ -8,6 +8,24 @@ from pyspark.sql import DataFrame, functions as F
 from .cluster import checkpointed
 
 
+#: Links of one node that a task meets, at least, and the nodes that may have more of them.
+PART, HUBS = 500, 10_000
+
+
+def _with_least(rows: DataFrame, most: int) -> DataFrame:
+    """``rows(u, v)`` and ``m``, the smallest ``v`` of each ``u``.
+
+    A node with over ``most`` rows is a hub: its rows are dealt by ``v`` to parts of about
+    ``most``, each of which meets its own copy of the hub's smallest. Rows divided by
+    ``most`` bound the hubs, so they are few enough to be sent to every task.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    dealt = rows.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    copies = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int") - 1).otherwise(0))))
+    return dealt.join(copies.select("u", "m", "part"), ["u", "part"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node that it reaches.
 
@@ -20,12 +38,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = checkpointed(links.where("a is not null and b is not null and a <> b").distinct())
     seen = _print_of(links)
     for _ in range(most_rounds):
+        most = max(PART, 2 * seen[0] // HUBS)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, most)
+        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = checkpointed(hung.unionByName(small.where("v = m").select("u", "v")).distinct())
         now = _print_of(links)
         if now == seen:
             break

@@ -1,24 +1,26 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, exact check after.
 
-A MinHash of a whole long document says nothing of a short item in it, so sketches are cut
-by value, not by number: an item belongs to the class ``c`` of the largest power of two for
-which at least SKETCH of its shingle hashes lie below ``2^63 / 2^c``; small items are in
-class 0 and keep all. Its sketch are the hashes below that bound, and the sketch of any
-document for that class are the document's hashes below the same bound, however long it is:
-the share of an item's sketch that a document holds estimates the containment without bias.
-A document that holds at least half of what containment asks for of a sketch is a candidate
-(class 0: all that it asks for). Candidates are verified exactly, shingle by shingle, as words.
+A MinHash of a whole long document says nothing of a short item in it, so a document's side
+of the search is no sketch of its own: all its hashes are held against the items' sketches,
+whose size goes by the size of the item. An item of ``n`` shingles keeps its smallest
+hashes: ``floor(n / 5)``, the fifth that containment lets a document lack, and ``hits`` more,
+REST of ``n`` but at least one (short items) and at most HITS (long ones). A document that
+holds the item lacks no more than that fifth, so it meets at least ``hits`` hashes of the
+sketch, wherever the item lies and however long the document is: nothing is lost. Documents
+that meet ``hits`` are candidates; they are verified exactly, shingle by shingle, as words.
 
 DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .cluster import checkpointed
 
-SHINGLE, CONTAINMENT, SKETCH = 5, 0.8, 32
+SHINGLE, CONTAINMENT = 5, 0.8
+#: Hashes of a sketch that a document must meet: a share of an item's shingles, and a bound.
+REST, HITS = 0.2, 16
 #: Shingles of the items up to which they are sent to every task, about 100 MB.
 SENT = 1_000_000
 WORDS = [f"w{i}" for i in range(SHINGLE)]
@@ -57,19 +59,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     named = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     wanted = _shingles(named, _words(F.col("text")), "item_id").distinct()
-    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("n"), F.element_at(F.slice(F.sort_array(F.collect_list("h")), 1, SKETCH), -1).alias("reach"))
-    # class 0 for up to SKETCH shingles, else the narrowest bound that keeps SKETCH of them
-    c = F.when(F.col("n") <= SKETCH, 0).otherwise(F.greatest(F.lit(0), 62 - F.floor(F.log2(F.col("reach") + 1.0)))).cast("int")
-    sizes = sizes.withColumn("c", c).withColumn("bound", F.expr("shiftright(9223372036854775807L, c)")).drop("reach")
-    wanted = checkpointed(wanted.join(sizes, "item_id"))
-    sketch = wanted.where("h <= bound").select("item_id", "n", "c", "h")
-    sketch = checkpointed(sketch.join(sketch.groupBy("item_id").agg(F.count_distinct("h").alias("m")), "item_id").distinct())
-    n_sketch, n_wanted = sketch.count(), wanted.count()
-
-    hashed = _shingles(base, _words(F.col("text")), "doc_id", "text_hash").select("doc_id", "text_hash", "h")
-    met = hashed.join(_small(sketch, n_sketch), "h").groupBy("doc_id", "text_hash", "item_id", "n", "m", "c", "h").agg(F.lit(1).alias("one"))
-    needed = F.when(F.col("c") == 0, F.lit(CONTAINMENT)).otherwise(F.lit(CONTAINMENT / 2)) * F.col("m")
-    pairs = met.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("shared"), F.first("m").alias("m"), F.first("c").alias("c")).where(F.col("shared") >= needed - 1e-9)
+    lacking = F.floor((1 - CONTAINMENT) * F.col("n") + 1e-9)
+    hits = F.greatest(F.lit(1), F.least(F.lit(HITS), F.floor(F.col("n") * REST))).cast("long")
+    item = Window.partitionBy("item_id")
+    sized = wanted.withColumn("n", F.count("*").over(item)).withColumn("hits", hits)
+    wanted = checkpointed(sized.withColumn("size", F.least(F.col("n"), lacking + F.col("hits"))))
+    place = F.row_number().over(item.orderBy("h", *WORDS))
+    sketch = checkpointed(wanted.withColumn("place", place).where(F.col("place") <= F.col("size")).groupBy("item_id", "h").agg(F.count("*").alias("met"), F.first("hits").alias("hits")))
+    n_sketch, widest = sketch.agg(F.count("*"), F.coalesce(F.max("h"), F.lit(-1))).first()
+    n_wanted = wanted.count()
+
+    hashed = _shingles(base, _words(F.col("text")), "doc_id", "text_hash").select("doc_id", "text_hash", "h").where(F.col("h") <= F.lit(widest))
+    met = hashed.join(_small(sketch, n_sketch), "h").groupBy("doc_id", "text_hash", "item_id", "met", "hits", "h").agg(F.lit(1).alias("one"))
+    pairs = met.groupBy("doc_id", "text_hash", "item_id").agg(F.sum("met").alias("shared"), F.first("hits").alias("hits")).where("shared >= hits")
     pairs = checkpointed(pairs.select("doc_id", "text_hash", "item_id"))
 
     suspects = pairs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
@@ -79,12 +81,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     counted = shared.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_shared"), F.first("n").alias("n_shingles"))
     verified = counted.where(F.col("n_shared") >= CONTAINMENT * F.col("n_shingles") - 1e-9)
     a, b = verified.alias("a"), pairs.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")) & (F.col("a.item_id") == F.col("b.item_id"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")) & F.col("a.item_id").eqNullSafe(F.col("b.item_id"))
     return a.join(b, same, "left_semi")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows that hold an item."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_text")).distinct()
-    key = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_found_text"))
-    return docs.join(found, key, "left_anti")
+    """``docs``, all columns, without the rows that hold an item.
+
+    Null and short texts stay. Rows are carried as one struct, so that no name can clash.
+    """
+    found = contaminated(docs, items, id_col, text_col).select("doc_id", "text_hash").distinct()
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
+    key = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return carried.join(found, key, "left_anti").select("row.*")

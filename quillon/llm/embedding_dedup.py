@@ -1,11 +1,15 @@
 """Near-duplicate vectors: spherical k-means cells and blocked cosine products.
 
-Equal vectors of a label become one with a count. Spherical k-means, fitted on a bounded
-sample, gives each a home cell. Two vectors closer than the threshold can have different
+Equal vectors of a label become one node with a count, whatever the ids of their rows.
+Spherical k-means, fitted on a bounded sample, gives each a home cell. Two vectors closer than the threshold can have different
 homes only if one lies near the border: a vector also visits each later cell whose border
 is within that distance, so no pair is lost. Within a cell, blocks are compared with one
 matrix product each, in double precision; a block returns counts and the few links that
 join what it found, never its pairs. The smallest id of each group is kept.
+
+Where vectors lie in groups, few of them are near a border and the work grows as their
+number. Where they are mere noise all cells lie near each other, every pair of a label has
+to be compared, and the work grows as the square of the largest label.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from .cluster import checkpointed
 from .components import connected_components, spanning_links
 
 #: Vectors in a cell and in a block, about; bounds of the sample, of cells, and of rounds.
-CELL, BLOCK, SAMPLE, CELLS, ROUNDS = 4096, 1024, 20_000, 512, 15
+CELL, BLOCK, SAMPLE, CELLS, ROUNDS = 4096, 1024, 65_536, 4096, 15
 
 
 def _matrix(column) -> np.ndarray:
@@ -28,6 +32,11 @@ def _matrix(column) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), -1)
 
 
+def _levelled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest number: exact, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids of unit vectors; the first ones are drawn far from each other."""
     rng = np.random.default_rng(7)
@@ -60,13 +69,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     Rows with a null label or id and vectors that are null, empty, zero or hold null or
     non-finite components link with nothing. Vectors of different lengths are never
-    compared. Rows that share an id are rows of their own. Other columns are ignored; an
-    empty table gives an empty result.
+    compared. Rows that share an id are rows of their own, and may be in different groups.
+    Other columns are ignored; an empty table gives an empty result.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     marked = base.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    texts = checkpointed(marked.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    nodes = marked.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    texts = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     # cells divide the largest label: more of them would only make more borders to visit across
     n = texts.groupBy("label").count().agg(F.max("count")).first()[0]
     lengths = texts.agg(F.collect_set(F.size("v"))).first()[0]
@@ -79,7 +89,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     found = checkpointed(found)
     groups = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    known = texts.join(links, "node", "left").join(groups, "node", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    known = texts.join(links, "node", "left").join(groups, "node", "left").select("label", "v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(smallest, "component").select("label", "v", "n_links", "component_id")
     out = marked.where("sound").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = marked.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
@@ -87,9 +99,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
 def _linked(texts: DataFrame, dimension: int, n: int, threshold: float) -> DataFrame:
     """``a, b, n``: links to join on, and (b null) how many rows each vector is linked with."""
-    drawn = texts.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow()
-    sample = _matrix(drawn["v"])
-    sample /= np.abs(sample).max(1, keepdims=True)
+    drawn = texts.orderBy(F.xxhash64("label", "v"), "least").limit(min(SAMPLE, max(1, 16 * math.ceil(n / CELL)) * 64)).select("v").toArrow()
+    sample = _levelled(_matrix(drawn["v"]))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     centres = spherical_kmeans(sample, max(1, min(CELLS, math.ceil(n / CELL))))
     reach = math.sqrt(2 - 2 * threshold) * (1 + 1e-6) + 1e-9
@@ -97,8 +108,7 @@ def _linked(texts: DataFrame, dimension: int, n: int, threshold: float) -> DataF
 
     def assign(batches):
         for batch in batches:
-            x = _matrix(batch["v"])
-            x = x / np.abs(x).max(1, keepdims=True)
+            x = _levelled(_matrix(batch["v"]))
             near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres.T
             home = near.argmax(1)
             own = np.arange(len(home))
@@ -115,7 +125,7 @@ def _linked(texts: DataFrame, dimension: int, n: int, threshold: float) -> DataF
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
-        x, ids, copies = _matrix(table["v"]), table["node"].to_numpy(), table["copies"].to_numpy()
+        x, ids, copies = _levelled(_matrix(table["v"])), table["node"].to_numpy(), table["copies"].to_numpy()
         guest, block = table["guest"].to_numpy(zero_copy_only=False), table["block"].to_numpy()
         length = np.sqrt((x * x).sum(1))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)

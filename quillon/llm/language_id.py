@@ -15,14 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import wordhash as W
 from .cluster import give_back
 
 SPECTRUM, FEATURES = 3, 1 << 14
 #: Bounds of the sample that is learned from, and of the landmarks in it.
-SAMPLE, LANDMARKS, SAMPLE_CHARS = 2_000, 128, 4_000
+SAMPLE, LANDMARKS, PER_LANGUAGE = 2_000, 128, 16
 RIDGE, SHARPNESS, ROWS = 1e-2, 8.0, 128
 #: Bytes of text that are looked at together, in one or in several texts.
 SPAN = 1 << 20
@@ -69,19 +69,25 @@ class Model:
         return (_scaled(presence(column)) @ self.landmarks) @ self.weights + self.offset
 
 
-def fit(texts: list[str], languages: list[str]) -> Model:
-    """Learn from texts in given order; the first ones of each language are its landmarks."""
+def fit(held: np.ndarray, languages: list[str]) -> Model:
+    """Learn from the n-grams of texts (packed rows of ``presence``) in given order.
+
+    The first texts of each language are its landmarks: an equal share of LANDMARKS, but two.
+    """
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([names.index(x) for x in languages])
-    each = max(1, LANDMARKS // len(names))
-    chosen = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(names))])[:LANDMARKS]
-    landmarks = _scaled(presence(pa.array([texts[i] for i in chosen]))).T.copy()
+
+    def rows(at) -> np.ndarray:
+        return _scaled(np.unpackbits(held[at], axis=1).astype(np.float32))
+
+    chosen = np.concatenate([np.flatnonzero(y == i)[: max(2, LANDMARKS // len(names))] for i in range(len(names))])
+    landmarks = rows(chosen).T.copy()
     value, vector = np.linalg.eigh((landmarks.T @ landmarks).astype(float))
     white = vector / np.sqrt(np.maximum(value, 1e-6))
     # the driver holds the n-grams of ROWS texts at a time, as the tasks do
-    phi = np.concatenate([(_scaled(presence(pa.array(texts[i : i + ROWS]))) @ landmarks).astype(float) @ white for i in range(0, len(texts), ROWS)])
+    phi = np.concatenate([(rows(slice(i, i + ROWS)) @ landmarks).astype(float) @ white for i in range(0, len(y), ROWS)])
     mean = phi.mean(0)
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1.0 / np.bincount(y, minlength=len(names))[y]  # each language counts alike
@@ -93,34 +99,50 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, learnable: Column) -> Model:
-    """Fit on at most SAMPLE of the rows of ``doc_id, text, lang`` where ``learnable`` holds.
+    """Fit on the whole texts of at most SAMPLE rows of ``doc_id, text, lang`` where ``learnable`` holds.
 
     Rows are drawn by a hash of their id, rarer languages with more weight, so that each
-    language has its share; of a text the first SAMPLE_CHARS characters are learned from.
+    language has its share; with many languages the bound is PER_LANGUAGE rows for each. The
+    tasks make the n-grams: the driver gets FEATURES bits for a row, however long its text.
     """
     usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
     chance = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) + 1) / float(1 << 40)
     # one row for each language, and sent only while languages are as few as they are
-    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    n_languages = sizes.count()
+    sizes = F.broadcast(sizes) if n_languages <= 10_000 else sizes
     drawn = usable.join(sizes, "lang").withColumn("turn", -F.log(chance) * F.col("n"))
-    last = drawn.select("turn").orderBy("turn").limit(SAMPLE).agg(F.max("turn")).first()[0]
-    within = drawn.where(F.col("turn") <= F.lit(last)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "turn")
-    rows = within.orderBy("turn", "lang", "text").limit(SAMPLE).collect()
-    model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
-    del rows
+    sample = max(SAMPLE, PER_LANGUAGE * n_languages)
+    last = drawn.select("turn").orderBy("turn").limit(sample).agg(F.max("turn")).first()[0]
+
+    def grams(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                bits = np.packbits(presence(part["text"]).astype(bool), axis=1)
+                yield pa.record_batch({"lang": part["lang"], "turn": part["turn"], "held": pa.array([b.tobytes() for b in bits], pa.binary())})
+        give_back()
+
+    within = drawn.where(F.col("turn") <= F.lit(last)).select("lang", "turn", "text").mapInArrow(grams, "lang string, turn double, held binary")
+    rows = within.orderBy("turn", "lang", "held").limit(sample).toArrow()
+    held = np.frombuffer(b"".join(rows["held"].to_pylist()), np.uint8).reshape(-1, FEATURES // 8)
+    model = fit(held, rows["lang"].to_pylist())
+    del rows, held
     give_back()
     return model
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Predict the language of every whole text: ``doc_id, lang_pred, score`` and columns to ``keep``.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Predict the language of every whole text: ``doc_id, lang_pred, score, margin``.
+
+    ``score`` is between 0 and 1. ``margin`` is the answer of the chosen language's own
+    regression, set so that 1 is what its texts are to get and 0 what a text gets that tells
+    nothing, however many languages there are. ``carry`` adds the input row as the struct ``row``, so that no name can clash.
 
-    ``score`` is between 0 and 1. Null texts and texts without a letter are ``und`` with
-    score 0, and so is everything if the model has learned no language. Ties go to the
-    language that sorts first. Only the text is looked at.
+    Null texts and texts without a letter are ``und`` with score and margin 0, and so is
+    everything if the model has learned no language. Ties go to the language that sorts
+    first. Only the text is looked at.
     """
-    keep = keep or []
 
     def predict(batches):
         for batch in batches:
@@ -128,20 +150,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             while at < batch.num_rows:
                 part = batch.slice(at, ROWS)
                 at += part.num_rows
-                text = part["_text"]
+                text = part["text"]
                 letters = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
-                best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
+                best, score, margin = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 if model.languages:
-                    raw = SHARPNESS * model.scores(text).astype(float)
-                    odds = np.exp(raw - raw.max(1, keepdims=True))
+                    raw = model.scores(text).astype(float)
+                    odds = np.exp(SHARPNESS * (raw - raw.max(1, keepdims=True)))
                     best, score = raw.argmax(1), odds.max(1) / odds.sum(1)
+                    nothing = 2 / len(model.languages) - 1
+                    margin = (raw.max(1) - nothing) / (1 - nothing) if nothing < 1 else np.ones(part.num_rows)
                 else:
                     letters[:] = False
                 names = pa.array([model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)], pa.string())
-                out = {"doc_id": part["_doc_id"], "lang_pred": names, "score": pa.array(np.where(letters, score, 0.0))}
-                yield pa.record_batch(out | {f"kept_{i}": part[f"kept_{i}"] for i in range(len(keep))})
+                out = {"doc_id": part["id"], "lang_pred": names, "score": pa.array(np.where(letters, score, 0.0)), "margin": pa.array(np.where(letters, margin, 0.0))}
+                yield pa.record_batch(out | ({"row": part["row"]} if carry else {}))
         give_back()
 
-    base = docs.select(F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
-    schema = "doc_id long, lang_pred string, score double" + "".join(f", kept_{i} {kind}" for i, (_, kind) in enumerate(base.dtypes[2:]))
-    return base.mapInArrow(predict, schema).withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), *([base.schema["row"]] if carry else [])])
+    return base.mapInArrow(predict, schema)

@@ -1,16 +1,19 @@
 """Mixing sources to target weights by systematic sampling.
 
 A source's target of words is shared out by weight and stops at MOST times the source's
-size. Each document of a source expects ``target / size of the source`` copies. Along a
-fixed order the expected copies are summed up, one random offset is added for the source,
-and a document is emitted once for each whole number that its step crosses.
+size. Each document of a source expects ``target / size of the source`` copies, or that times
+its own factor (``factor_col``). Along a fixed order the expected copies are summed up, one
+random offset is added for the source, and a document is emitted once for each whole number
+that its step crosses. Expected copies are whole numbers of UNITths, so that sums are exact
+in whatever order and however they are parted.
 
 The order is by size, id and print in every source, so neighbours are alike and the words
-taken come near the target. Expected copies are equal in a source, so the sum up to a
-document is its rank times the rate. A source of over CHUNK rows is ranked in ranges of that
-order, so that a hot source is many tasks: ranges are parted by keys that a hash draws from
-the source's own rows, of about CHUNK rows or a PARTSth of the source; a rank is the one in
-the range plus the rows of the ranges before, which are counted beforehand.
+taken come near the target. A source of over CHUNK rows is summed in ranges of that order, so
+that a hot source is many tasks: ranges are parted by keys that a hash draws from the
+source's own rows, of about CHUNK rows or a PARTSth of the source; a prefix sum is the one in
+the range plus the sums of the ranges before, which are made beforehand.
+
+Sources meet in one task, a row each of about 60 bytes, where targets are shared out.
 
 DataFrame operations only.
 """
@@ -22,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .cluster import checkpointed
 
 WEIGHTS, SHARE, MOST, CHUNK, SEED = (5, 2, 1), 1.5, 2, 5_000, "mix-1"
+#: Parts of a copy that expected copies are counted in: sums stay below 2^63 up to 2e11 documents.
+UNIT = 1 << 24
 #: Ranges of a source at most, and keys drawn for each range, of which one is taken.
 PARTS, DRAWN = 1_000, 8
 #: Sources, and chunks, up to which their sums are sent to every task (some 10 MB).
@@ -47,14 +52,17 @@ def _share(sources: DataFrame, weights: tuple[int, ...], share: float, most: int
     left = F.sum("weight").over(stops.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.partitionBy()) * share
     level = F.max("level").over(Window.partitionBy())
-    return weighed.withColumn("level", (total - before) / left).withColumn("target", F.least(F.col("most"), level * F.col("weight"))).select("source", "source_size", "source_rows", "target")
+    return weighed.withColumn("level", (total - before) / left).withColumn("target", F.least(F.col("most"), level * F.col("weight"))).select("source", "source_size", "source_rows", "wanted", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, carry: bool = False, factor_col: str | None = None) -> DataFrame:
     """How often the mix takes each document: ``doc_id, size, source, source_size, target, copies``.
 
     ``size`` counts words; the words taken are ``size * copies``. ``carry`` adds the input
-    row as the struct ``row``. Reruns agree, whatever the partitions.
+    row as the struct ``row``. ``factor_col`` names numbers from 0 to 1e6 by which documents
+    are wanted more or less than others of their source (null, negative or no number: 0); a
+    document still stands ``most`` times at most, and what that cuts is not shared again.
+    Reruns agree, whatever the partitions.
 
     Null texts have size 0; a null source is a source of its own, after all others; a source
     without a word takes nothing. Documents of size 0 are drawn like others. Equal rows are
@@ -63,12 +71,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(text).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), F.md5(F.coalesce(text, F.lit(""))).alias("print"), *row)
-    light = checkpointed(base.select("doc_id", "size", "source", "print"))
+    factor = F.lit(1.0) if factor_col is None else F.coalesce(F.when(F.col(f"`{factor_col}`").cast("double").between(0, 1e6), F.col(f"`{factor_col}`").cast("double")), F.lit(0.0))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(text).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), F.md5(F.coalesce(text, F.lit(""))).alias("print"), factor.alias("factor"), *row)
+    light = checkpointed(base.select("doc_id", "size", "source", "print", "factor"))
     base = base if carry else light
-    sources = _share(light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), weights, share, most)
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 2**32
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = _share(light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"), F.sum(F.col("size") * F.col("factor")).alias("wanted")), weights, share, most)
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))), 1, 6), 16, 10).cast("long")
+    rate = F.when(F.col("wanted") > 0, F.col("target") / F.col("wanted")).otherwise(0.0)
+    step = F.floor(F.least(F.col("rate") * F.col("factor"), F.lit(float(most))) * UNIT + 0.5).cast("long")
     sources = sources.withColumn("rate", rate).withColumn("offset", offset)
     # a struct's order has no nulls in it
     key = F.struct("size", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "print")
@@ -85,14 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         joined = df.join(sent.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         return joined.withColumn("chunk", chunk).drop("keys")
 
-    counts = placed(light).groupBy("source", "chunk").agg(F.count("*").alias("n"))
+    counts = placed(light).groupBy("source", "chunk").agg(F.sum(step).alias("n"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("source").alias("_source"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    order = Window.partitionBy("source", "chunk").orderBy("size", F.col("doc_id").asc_nulls_first(), "print")
-    ranked = placed(base).withColumn("rank", F.row_number().over(order) - 1)
+    order = Window.partitionBy("source", "chunk").orderBy("size", F.col("doc_id").asc_nulls_first(), "print", "factor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed(base).withColumn("step", step).withColumn("sum", F.sum("step").over(order))
     ranked = ranked.join(starts if starts.count() > SENT else F.broadcast(starts), F.col("source").eqNullSafe(F.col("_source")) & (F.col("chunk") == F.col("_chunk")))
-    at = F.col("rank") + F.col("ahead")
-    crossed = F.floor((at + 1) * F.col("rate") + F.col("offset")) - F.floor(at * F.col("rate") + F.col("offset"))
+    crossed = F.expr(f"(sum + ahead + offset) div {UNIT}") - F.expr(f"(sum - step + ahead + offset) div {UNIT}")
     return ranked.select("doc_id", "size", "source", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"), *(["row"] if carry else []))
 
 

@@ -1,6 +1,7 @@
 """Near-duplicate documents by DartMinHash signatures, banding and exact verification.
 
-* A text is its set of five-word shingles (lower case). Each shingle throws darts: arrivals
+* A text is its five-word shingles (lower case); a shingle weighs as often as it occurs, or
+  1 (``counted``). Each shingle throws darts: arrivals
   of a hashed Poisson process over its weight region, each with a rank (arrival time), a
   coordinate and a fingerprint. Darts that land under the shingle's weight count; a
   coordinate keeps its earliest. Two texts agree at a coordinate with the probability of
@@ -30,6 +31,8 @@ from .cluster import checkpointed, give_back
 from .components import connected_components, spanning_links
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
+#: Shingles weigh as often as they occur, unless told otherwise.
+COUNTED = True
 #: Texts, and shingles, that a block holds, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 768, 1_500_000
 
@@ -86,30 +89,41 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int, wei
     return out
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: hashes, how many, words, and a hash of all its words."""
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: hashes, how many, words, a hash of all its words, and occurrences."""
     found = W.words(pc.utf8_lower(W.as_strings(column)))
     h = W.hashes(found)
     at, owner = W.inside_texts(found.counts, size)
     grams = W.runs(h, size)[at] if len(at) else np.zeros(0, W.U64)
     n = len(found.counts)
     ends = np.searchsorted(owner, np.arange(n + 1))
-    sets = [np.unique(grams[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    sets = [np.unique(grams[a:b], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     place = (np.arange(len(h)) - np.repeat(found.offsets[:-1], found.counts)).astype(W.U64)
     folded = W.mix(h + W.mix(place + W.U64(77)))
     whole = np.zeros(n, W.U64)
     some = found.counts > 0
     if some.any():
         whole[some] = W.mix(np.add.reduceat(folded, found.offsets[:-1][some]))
-    return (np.concatenate(sets) if sets else grams), np.array([len(s) for s in sets], int), found.counts, whole
+    distinct, times = (np.concatenate([s[i] for s in sets]) if sets else grams for i in (0, 1))
+    return distinct, np.array([len(s[0]) for s in sets], int), found.counts, whole, times
 
 
-def _signed(batches):
+def _elements(sets: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """An element for each occurrence: sets of those are as similar as the weighted ones."""
+    place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    every = np.repeat(sets, times)
+    return np.where(place > 0, W.mix(every ^ W.mix(place.astype(W.U64))), every)
+
+
+def _signed(batches, counted: bool):
     for batch in batches:
         for piece in W.pieces(pa.Table.from_batches([batch]), "text", 2_000_000):
-            sets, sizes, counts, whole = shingle_sets(piece["text"])
+            sets, sizes, counts, whole, times = shingle_sets(piece["text"])
             n = len(sizes)
-            signature = dart_signatures(sets, np.repeat(np.arange(n), sizes), n, BANDS * ROWS)
+            owner = np.repeat(np.arange(n), sizes)
+            signature = dart_signatures(sets, owner, n, BANDS * ROWS, times.astype(float) if counted else None)
+            if counted:
+                sizes = np.bincount(owner, times, n).astype(int)
             bands = np.zeros((n, BANDS), W.U64)
             for r in range(ROWS):
                 bands = W.mix(bands * W.U64(0xA0761D6478BD642F) + signature[:, r::ROWS])
@@ -118,10 +132,13 @@ def _signed(batches):
     give_back()
 
 
-def _sets(batches):
+def _sets(batches, counted: bool):
     for batch in batches:
         for piece in W.pieces(pa.Table.from_batches([batch]), "text", 2_000_000):
-            sets, sizes, _, whole = shingle_sets(piece["text"])
+            sets, sizes, _, whole, times = shingle_sets(piece["text"])
+            if counted:
+                sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), times, len(sizes)).astype(int)
+                sets = _elements(sets, times)
             ends = np.cumsum(sizes)
             own = whole.view(np.int64) == piece["print"].to_numpy()  # another text may have the same id
             out = pa.table({c: piece[c] for c in ("print", "cluster", "blocks")} | {"shingles": pa.array([sets[b - s : b].tobytes() for b, s in zip(ends, sizes, strict=True)], pa.binary())})
@@ -179,8 +196,11 @@ def _verified(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = COUNTED) -> DataFrame:
+    """Group documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    With ``counted`` the similarity is the weighted one: the sum of the lesser numbers of
+    occurrences over that of the greater. Without, every shingle weighs 1.
 
     Returns ``doc_id, component_id, kept, group, text_hash`` for each input row:
     ``component_id`` is the smallest id of the group, ``kept`` is true for the rows with that
@@ -194,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    signed = checkpointed(base.mapInArrow(_signed, "doc_id long, text_hash long, print long, n int, bands array<long>"))
+    signed = checkpointed(base.mapInArrow(lambda batches: _signed(batches, counted), "doc_id long, text_hash long, print long, n int, bands array<long>"))
     texts = signed.where("print is not null").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("least"), F.max("n").alias("n"))
     buckets = signed.where("print is not null and n > 0").select("print", F.posexplode("bands").alias("band", "bucket"))
     hubs = buckets.groupBy("band", "bucket").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a <> z").drop("z")
@@ -206,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = sized.join(blocks, "component").select("print", "doc_id", F.col("component").alias("cluster"), "blocks")
     # any one row of a text will do: it is found by its id, then by its own print
     readable = base.join(chosen, base["doc_id"].eqNullSafe(chosen["doc_id"])).select(chosen["print"], "cluster", "blocks", "text")
-    sets = readable.mapInArrow(_sets, "print long, cluster long, blocks int, shingles binary")
+    sets = readable.mapInArrow(lambda batches: _sets(batches, counted), "print long, cluster long, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("print", "cluster", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -226,17 +246,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Null texts and texts without a word all stay; of equal rows with a word one stays. Of
     rows that share the smallest id but not the text, the one with the smaller hash stays.
+    Rows are carried as one struct, so that no name of a column can clash.
     """
     found = near_duplicates(docs, id_col, text_col).where("kept")
     rows = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("r")).select("r.*")
     stay = checkpointed(first.unionByName(rows.where("group is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n"))))
-    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_text"), F.col("n").alias("_stay_n"))
-    text = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
-    key = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stay_id")) & (text == F.col("_stay_text"))
-    if stay.where("_stay_n > 1").isEmpty():
-        return docs.join(stay, key, "left_semi")
-    more = stay.where("_stay_n > 1").select("_stay_id", "_stay_text")
-    once = docs.join(stay.where("_stay_n = 1"), key, "left_semi")
-    several = docs.join(more, key).dropDuplicates(["_stay_id", "_stay_text"]).drop("_stay_id", "_stay_text")
-    return once.unionByName(several)
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
+    key = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    if stay.where("n > 1").isEmpty():
+        return carried.join(stay, key, "left_semi").select("row.*")
+    once = carried.join(stay.where("n = 1"), key, "left_semi").select("row")
+    several = carried.join(stay.where("n > 1"), key).groupBy("id", "hash").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(several).select("row.*")

@@ -46,7 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = learn(docs.select("doc_id", "text", "lang"), ~held_out)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +113,11 @@ ORACLES = {
         l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5e0 - coalesce(sum(most) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
         t AS (SELECT source, source_size, least(most, max(level) OVER () * weight) AS target,
-            CAST('0x' || substr(md5('mix-1:' || coalesce('=' || source, 'null')), 1, 8) AS BIGINT) / 4294967296.0e0 AS u FROM l),
-        r AS (SELECT d.*, t.source_size, t.target, t.target / t.source_size AS rate, u, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id ASC NULLS FIRST, print) - 1 AS k
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, CAST(size * least(2, floor((k + 1) * rate + u) - floor(k * rate + u)) AS BIGINT) AS taken FROM r""",
+            CAST('0x' || substr(md5('mix-1:' || coalesce('=' || source, 'null')), 1, 6) AS BIGINT) AS u FROM l),
+        e AS (SELECT d.*, t.source_size, t.target, u, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size * 16777216.0e0 + 0.5e0) AS BIGINT) ELSE 0 END AS step
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        r AS (SELECT *, CAST(sum(step) OVER (PARTITION BY source ORDER BY size, doc_id ASC NULLS FIRST, print ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM e)
+        SELECT doc_id, size, source_size, target, CAST(size * least(2, (s + u) // 16777216 - (s - step + u) // 16777216) AS BIGINT) AS taken FROM r""",
     "op7_embedding_dedup": """
         WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id

@@ -1,13 +1,19 @@
 """Substring deduplication: repeated word windows found through a Count-min prefilter.
 
-1. Documents are dealt into batches by id. Each batch makes a partition sketch: one wide
-   Count-min row over the hashes of its word windows, kept sparse (sorted cells, and which
-   of them it met more than once) and cut into slices of the cell range.
-2. The sketches of a slice are merged. A merged count is never below the true one, so no
-   repeated window is lost; each batch is told which of its cells hold two or more.
+1. Documents are dealt into batches by id and text. Each batch makes a partition sketch: a
+   Count-min row over the hashes of its word windows, WIDE cells for each window of the
+   input, so that few windows share one at any size. Most cells of a batch are empty, so the
+   sketch is sent as its cells that are not, with their counters (up to 255), cut into
+   slices of the row.
+2. The sketches of a slice are merged by adding up counters. A sum is never below the true
+   count, so no repeated window is lost; each batch is told which of its cells reach two.
 3. A second pass groups exactly the windows in those cells by a 128-bit hash. A batch sends
-   each such window once, with the smallest document id that holds it, so a passage in a
-   third of all documents costs one entry a batch. The first holder keeps its window.
+   each such window once, with its first place in the batch, so a passage in a third of all
+   documents costs one entry a batch. The first holder keeps its window.
+
+A batch sends a slice one message, and none if it has nothing for it: there are never more
+messages than windows. Batches and slices grow with the input (up to LARGER times) so that
+messages keep holding several windows each.
 
 No step gathers all windows of one text or one passage in one place, and what moves is
 about three bytes a window for the sketches and 24 a window that is really repeated.
@@ -25,10 +31,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import wordhash as W
 from .cluster import checkpointed, width
 
-#: Cells of the sketch, as a power of two.
-CELL_BITS = 40
-#: Bytes of text in a batch, and windows in a slice, about.
-BATCH_BYTES, SLICE_WINDOWS = 6_000_000, 2_000_000
+#: Cells of the sketch for each window of the input, as a power of two, and bytes a window takes, about.
+WIDE, WINDOW_BYTES = 10, 6
+#: Bytes of text in a batch, and windows in a slice, about, and how much larger they may get.
+BATCH_BYTES, SLICE_WINDOWS, LARGER = 6_000_000, 2_000_000, 8
+#: Windows that a message holds, about, before batches and slices grow.
+FILLED = 32
 MESSAGE = "slice int, batch int, payload binary"
 LAST = np.iinfo(np.int64).max
 
@@ -80,9 +88,9 @@ class _Batch:
         self.counts = np.concatenate(self.counts) if self.counts else np.zeros(0, int)
         self.h1, self.h2, self.owner, self.start = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
 
-    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted cells, how often each was met, and the cell (by place) of each window."""
-        cell = self.h1 >> W.U64(64 - CELL_BITS)
+        cell = self.h1 >> W.U64(64 - bits)
         unique, place, n = np.unique(cell, return_inverse=True, return_counts=True)
         return unique, n, place
 
@@ -130,61 +138,64 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches = max(1, math.ceil(size / BATCH_BYTES))
-    n_slices = max(1, math.ceil(size / 6 / SLICE_WINDOWS))
+    windows = size / WINDOW_BYTES
+    bits = min(63, max(20, math.ceil(math.log2(windows + 1)) + WIDE))
+    # messages number batches times slices; twice as large ones of both make a fourth of them
+    larger = min(LARGER, max(1.0, math.sqrt(FILLED * (size / BATCH_BYTES) * (windows / SLICE_WINDOWS) / max(windows, 1))))
+    n_batches = max(1, math.ceil(size / (BATCH_BYTES * larger)))
+    n_slices = max(1, math.ceil(windows / (SLICE_WINDOWS * larger)))
     parts = min(n_batches, max(width(spark), 1)) if n_batches < width(spark) else width(spark)
-    dealt = base.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int")).repartition(parts, "batch")
+    dealt = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition(parts, "batch")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        cells, n, _ = _Batch(table, window, False).cells()
+        cells, n, _ = _Batch(table, window, False).cells(bits)
 
         def part(a, b):
             gaps = np.diff(cells[a:b], prepend=W.U64(0))
             gaps = np.concatenate([gaps[:1], gaps[1:]])
-            return _squeeze(gaps[:1], gaps[1:].astype(np.uint32) if len(gaps) == 1 or gaps[1:].max() < 2**32 else gaps[1:], np.packbits(n[a:b] > 1))
+            return _squeeze(gaps[:1], gaps[1:].astype(np.uint32) if len(gaps) == 1 or gaps[1:].max() < 2**32 else gaps[1:], np.minimum(n[a:b], 255).astype(np.uint8))
 
-        return _messages(key[0].as_py(), _slices(cells, CELL_BITS, n_slices), part)
+        return _messages(key[0].as_py(), _slices(cells, bits, n_slices), part)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        cells, twice, sizes = [], [], []
+        cells, counters, sizes = [], [], []
         for payload in table["payload"].to_pylist():
-            first, gaps, flags = _unsqueeze(payload)
+            first, gaps, n = _unsqueeze(payload)
             cells.append(np.cumsum(np.concatenate([first, gaps.astype(np.uint64)])))
-            twice.append(np.unpackbits(flags, count=len(cells[-1])))
-            sizes.append(len(cells[-1]))
-        cells, twice = np.concatenate(cells), np.concatenate(twice)
+            counters.append(n)
+            sizes.append(len(n))
+        cells, counters = np.concatenate(cells), np.concatenate(counters)
         order = np.argsort(cells, kind="stable")
-        inner = cells[order]
-        near = np.zeros(len(inner), bool)
-        if len(inner) > 1:
-            same = inner[1:] == inner[:-1]
-            near[1:] |= same
-            near[:-1] |= same
-        repeated = twice.astype(bool)
-        repeated[order] |= near
+        cells = cells[order]
+        new = np.ones(len(cells), bool)
+        new[1:] = cells[1:] != cells[:-1]
+        total = np.add.reduceat(counters[order].astype(np.int64), np.flatnonzero(new))
+        repeated = np.zeros(len(cells), bool)
+        repeated[order] = total[np.cumsum(new) - 1] > 1
         return _reply(table, key[0].as_py(), repeated, sizes)
 
     def suspects(key: tuple, table: pa.Table, answers: pa.Table):
         b = _Batch(table, window, True)
-        cells, _, place = b.cells()
-        at, firsts, group = b.candidates(_told(answers, _slices(cells, CELL_BITS, n_slices)), place)
+        cells, _, place = b.cells(bits)
+        at, firsts, group = b.candidates(_told(answers, _slices(cells, bits, n_slices)), place)
         return b, at, firsts, group, _slices(b.h1[firsts], 64, n_slices)
 
     def ask(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _messages(0, np.zeros(1, int), None)
         b, _, firsts, _, ends = suspects(key, table, answers)
-        return _messages(table["batch"][0].as_py(), ends, lambda i, j: _squeeze(b.h1[firsts[i:j]], b.h2[firsts[i:j]], b.ids[b.owner[firsts[i:j]]]))
+        return _messages(table["batch"][0].as_py(), ends, lambda i, j: _squeeze(b.h1[firsts[i:j]], b.h2[firsts[i:j]], b.ids[b.owner[firsts[i:j]]], b.start[firsts[i:j]].astype(np.int64)))
 
     def owners(key: tuple, table: pa.Table) -> pa.Table:
         got = [_unsqueeze(p) for p in table["payload"].to_pylist()]
-        h1, h2, ids = (np.concatenate([g[i] for g in got]) for i in range(3))
-        order = np.lexsort((ids, h2, h1))
-        a, b = h1[order], h2[order]
-        later = np.zeros(len(a), bool)
-        later[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        flags = np.zeros(len(a), bool)
-        flags[order] = later
+        h1, h2, ids, starts = (np.concatenate([g[i] for g in got]) for i in range(4))
+        order = np.lexsort((starts, ids, h2, h1))
+        h1, h2, ids, starts = h1[order], h2[order], ids[order], starts[order]
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        flags = np.zeros(len(h1), bool)
+        flags[order] = (ids != ids[head]) | (starts != starts[head])  # rows that share an id are one document
         return _reply(table, key[0].as_py(), flags, [len(g[0]) for g in got])
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:

@@ -29,7 +29,7 @@ from .cluster import checkpointed, give_back, width
 from .word_encoder import encoder
 
 MAGIC, HEAD, ENTRY = b"QTS1", struct.Struct("<4s32sBQ"), np.dtype([("doc", "<i8"), ("has", "<u1"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u8")])
-#: Documents and bytes that train the dictionary, its size, and bytes of text in a shard, about.
+#: Documents that train the dictionary and bytes that each may have, its size, and bytes of text in a shard, about.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, SHARD_BYTES = 600, 20_000, 32_768, 4_000_000
 LEVEL = 3
 
@@ -73,17 +73,18 @@ class Shard:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary from the SAMPLE_DOCS documents with the smallest hash of their id.
+    """A dictionary from the SAMPLE_DOCS whole documents with the smallest hash of their id.
 
-    Too few or too small samples give an empty dictionary: frames then stand alone.
+    Drawn are documents of up to SAMPLE_BYTES, for it is short ones that a dictionary helps;
+    longer ones are written like all others. Too few or too small samples give an empty dictionary: frames then stand alone.
     """
-    keyed = docs.select(F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b")).alias("k"), "text")
+    keyed = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select(F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b")).alias("k"), "text")
     # the keys alone are sorted first, so that no partition sends SAMPLE_DOCS texts
     last = keyed.select("k").orderBy("k").limit(SAMPLE_DOCS).agg(F.max("k").alias("k")).first()["k"]
     if last is None:
         return b""
     within = keyed.where((F.col("k.a") < last["a"]) | (F.col("k.a") == last["a"]) & (F.col("k.b") <= last["b"]))
-    chosen = within.select("k", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy("k").limit(SAMPLE_DOCS).collect()
+    chosen = within.select("k", "text").orderBy("k").limit(SAMPLE_DOCS).collect()
     encode = encoder(tokenizer)
     kind = _id_type(max(encode.size, end_id))
     end = np.array([end_id], kind).tobytes()
@@ -144,10 +145,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
     images = spark.read.parquet(f"{path}/shards")
-    # a row for each shard, without its image: a few dozen bytes for megabytes of text
-    order = Window.orderBy(F.col("first").asc_nulls_first(), "file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    # shards stand in order in a file and files in order of their ids: only sums of whole
+    # files, a row for each partition that has written one, meet in one task
     named = images.select("first", "part", "n_ids", F.col("_metadata.file_name").alias("file"))
-    starts = named.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("file", "part", "base")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    files = named.groupBy("file").agg(F.sum("n_ids").alias("n"), F.min(F.struct("part", "first")).getField("first").alias("first"))
+    files = files.select("file", F.coalesce(F.sum("n").over(before.orderBy(F.col("first").asc_nulls_first(), "file")), F.lit(0)).alias("ahead"))
+    inside = named.select("file", "part", F.coalesce(F.sum("n_ids").over(before.partitionBy("file").orderBy("part")), F.lit(0)).alias("inside"))
+    starts = inside.join(files, "file").select("file", "part", (F.col("inside") + F.col("ahead")).alias("base"))
     placed = images.select("part", "image", F.col("_metadata.file_name").alias("file")).join(starts, ["file", "part"])
 
     def rows(batches):

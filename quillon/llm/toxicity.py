@@ -214,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit a chain on at most SAMPLE labelled documents, drawn by a hash of their id.
 
     Rows with a null label or a null id are not learned from; a document labelled twice
-    counts as its largest label. Without labelled rows every probability is near 0.
+    counts as its largest label. Of sampled texts that share a MinHash band of their words
+    (near copies, as a rule) the first counts, for a group of copies is one example, not
+    many: the sample's bound is one on different texts. Without labelled rows every probability is near 0.
     Categories before the last are KINDS, or those of ``seeds``.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))

@@ -1,6 +1,7 @@
 """A cache in front of a public tokenizer, exact for vocabularies that split at white space.
 
-The tokenizer drops white space and encodes each run of letters, each digit and each run of
+The short cuts hold for one kind of tokenizer, whose file names the steps in STEPS; a file
+that names others is used through the library alone, text by text. That kind drops white space and encodes each run of letters, each digit and each run of
 other signs by itself, so a text's ids are those of its words one after the other, and most
 words have been met before. Words of ASCII and Latin-1 letters are cut into those pieces
 here and only unknown pieces go to the tokenizer's model; any other word, and any that could
@@ -11,6 +12,7 @@ is emptied when it is full.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
@@ -24,6 +26,23 @@ SIMPLE = re.compile("[\x21-\x3b\x3d-\x7eÀ-ÿ]+")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 
 
+#: What a tokenizer's file has to say for the short cuts to hold, as the library prints it.
+STEPS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "model": {"type": "BPE", "dropout": None},
+    "bare tokens": [],
+}
+
+
+def _steps(file: dict) -> dict:
+    """The steps that a tokenizer's file names, and its added tokens that hold no "<"."""
+    out = {k: file.get(k) for k in ("truncation", "padding", "normalizer", "pre_tokenizer")}
+    return out | {"model": {k: file["model"].get(k) for k in ("type", "dropout")}, "bare tokens": [t["content"] for t in file["added_tokens"] if "<" not in t["content"] or t["normalized"]]}
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -39,6 +58,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.plain = _steps(json.loads(self.tokenizer.to_str())) == STEPS
         self.size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
@@ -66,6 +86,9 @@ class WordEncoder:
 
     def serialized(self, text: bytes, kind: np.dtype) -> bytes:
         """The ids of a text as an array of ``kind``, little-endian."""
+        if not self.plain:
+            self.kind = kind
+            return self._bytes(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         if kind != self.kind:
             self.known.clear()
             self.parts.clear()
