@@ -10,35 +10,54 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import decontaminate, language_id, mixing, near_dedup, queries, token_store
 
-#: A prediction below this is no more than a guess between languages.
-LEAST_SCORE = 0.3
+#: A text has to speak for its language more than one that tells nothing, which has margin 0.
+LEAST_MARGIN = 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and those whose language is a mere guess, go."""
+    """Texts without a letter, and those that speak for no learned language, go.
+
+    Null and empty texts have no letter. Equal rows all stay or all go. Where no row has a
+    language nothing can be learned, and all texts with a letter stay. No row gives none.
+    """
     model = language_id.learn(docs.select("doc_id", "text", "lang"), F.lit(True))
-    found = language_id.identify(docs.withColumnRenamed("doc_id", "id_kept"), model, "id_kept", keep=[c if c != "doc_id" else "id_kept" for c in docs.columns])
-    sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).select(*[F.col("id_kept" if c == "doc_id" else c).alias(c) for c in docs.columns])
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language_id.identify(docs, model, carry=True)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("margin") > LEAST_MARGIN)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the smallest id.
+
+    Null texts and texts without a word all stay; of equal rows one stays; among rows that
+    share the smallest id the one with the smaller text hash. No row gives none.
+    """
     return near_dedup.without_near_duplicates(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and short texts stay, as do all where there is no item. Equal rows go or stay alike.
+    """
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them."""
+    """Documents stand as often as the mix takes them, twice at most.
+
+    A null source is one like others, null texts have no size. Equal rows are drawn one by
+    one. No row gives none.
+    """
     return mixing.mixed(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the shared folder, and what they hold for each document."""
+    """Token files in the shared folder, and what they hold for each document.
+
+    Null texts hold the end id only; null ids come first; equal rows are documents each.
+    """
     path = token_store.shared_folder(spark, "corpus")
     token_store.write_tokens(docs, path, queries.tokenizer_path(), end_id=queries.END_ID)
     return token_store.read_tokens(spark, path).drop("ids")
@@ -57,12 +76,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to ``documents``.
+
+    What a stage keeps is a table in the shared folder until the next stage has written its
+    own; then the folder is emptied.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             path = token_store.shared_folder(spark, f"stage-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+        else:
+            path = None  # the last stage has written its files; its rows come from there
+        if before is not None:
+            spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(before)
+        before = path
     return docs
