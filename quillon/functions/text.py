@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator
 from importlib.resources import files
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN = "([a-záéíóúñü]+)"
@@ -124,22 +126,44 @@ def stem_es(word: str) -> str:
     return word.translate(str.maketrans("áéíóú", "aeiou"))
 
 
+def words_of(text: Column, stopwords: list[str] = ()) -> Column:
+    """The tokens that a search looks at, as they stand."""
+    found = tokens(text)
+    return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
+
+
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's words as stems; a worker makes the stem of a word once."""
+    known: dict[str, str] = {}
+    for batch in batches:
+        flat = batch["words"].flatten().dictionary_encode()
+        roots = [known.get(w) or known.setdefault(w, stem_es(w)) for w in flat.dictionary.to_pylist()]
+        stems = pa.array(roots, pa.string()).take(flat.indices)
+        if len(known) > 500_000:
+            known.clear()
+        sizes = pc.fill_null(pc.list_value_length(batch["words"]), 0)
+        ends = pc.cumulative_sum(sizes).to_numpy()
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        yield pa.record_batch({"doc": batch["doc"], "words": pa.ListArray.from_arrays(offsets, stems)})
+
+
+def bags(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] = (), stem: bool = False) -> DataFrame:
+    """``doc, words``: the terms of each text that is not null, in order, without a shuffle."""
+    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), words_of(F.col(text_col), list(stopwords)).alias("words"))
+    return cut.mapInArrow(_stems, cut.schema) if stem else cut
+
+
 def terms(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] = (), stem: bool = False) -> DataFrame:
-    """``doc, term, tf``: the bag of words of each text. Stems are made of distinct words only."""
-    words = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
-    if stopwords:
-        words = words.where(~F.col("term").isin(*stopwords))
-    bag = words.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    if not stem:
-        return bag
-
-    @F.pandas_udf("string")
-    def stems(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(stem_es)
-
-    roots = bag.select("term").distinct().withColumn("root", stems("term"))
-    return bag.join(roots, "term").groupBy("doc", F.col("root").alias("term")).agg(F.sum("tf").alias("tf"))
+    """``doc, term, tf``: the bag of words of each text.
+
+    A text's words are sorted within its row and runs of equal ones are counted: no shuffle.
+    """
+    ordered = bags(docs, id_col, text_col, stopwords, stem).select("doc", F.array_sort("words").alias("w")).where(F.size("w") > 0)
+    begins = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    placed = ordered.select("doc", "w", begins.alias("at"))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("w") + 1))
+    runs = placed.select("doc", "w", F.explode(F.arrays_zip(F.col("at").alias("a"), ends.alias("b"))).alias("r"))
+    return runs.select("doc", F.get("w", F.col("r.a") - 1).alias("term"), (F.col("r.b") - F.col("r.a")).cast("long").alias("tf"))
 
 
 def query_terms(text: str, stopwords: list[str] = (), stem: bool = False) -> dict[str, int]:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,28 +23,30 @@ def dehyphenated(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\S)- (?=\p{Ll})", "")
 
 
-def _label(words: list[str]) -> str:
+def _heading(text: str) -> str:
     """What makes two heads alike: letters without accents or case, no numbers."""
-    spread = unicodedata.normalize("NFD", " ".join(words).lower())
-    letters = "".join(c for c in spread if unicodedata.category(c) != "Mn")
-    return " ".join(re.findall(r"[a-zñ]+", letters))
+    bare = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return " ".join(re.findall("[a-z]+", bare))
 
 
-def body_text(content: str | None) -> str | None:
+def body_text(content: str) -> str:
     """The text of one document without heads and feet, words joined by one space."""
-    if content is None:
-        return None
-    lines: list[tuple[int, int, int, list[str]]] = []
-    for fields in (row.split("\t") for row in content.splitlines()):
-        if len(fields) != FIELDS or not fields[0]:
-            continue
-        y, height, page = int(fields[2]), int(fields[6]), int(fields[7])
-        if not lines or lines[-1][0] != page or abs(lines[-1][1] - y) > LINE:
-            lines.append((page, y, height, []))
-        lines[-1][3].append(fields[0])
-    edge = [_label(words) if not height * BAND < y < height * (1 - BAND) else None for _, y, height, words in lines]
-    pages = Counter(label for label, _ in {(e, line[0]) for e, line in zip(edge, lines, strict=True) if e is not None})
-    return " ".join(" ".join(line[3]) for e, line in zip(edge, lines, strict=True) if e is None or (e and pages[e] < REPEATS))
+    split = [f for f in (line.split("\t") for line in content.splitlines()) if len(f) == FIELDS and f[0]]
+    if not split:
+        return ""
+    words = pd.DataFrame({"word": [f[0] for f in split], "y": [int(f[2]) for f in split], "height": [int(f[6]) for f in split], "page": [int(f[7]) for f in split]})
+    # a line ends where the page turns or a word stands too far from the line's first one
+    number, first, lines = -1, None, []
+    for at in zip(words["page"], words["y"], strict=True):
+        if first is None or at[0] != first[0] or abs(at[1] - first[1]) > LINE:
+            first, number = at, number + 1
+        lines.append(number)
+    whole = words.groupby(lines).agg(text=("word", " ".join), y=("y", "first"), height=("height", "first"), page=("page", "first"))
+    outside = (whole["y"] <= whole["height"] * BAND) | (whole["y"] >= whole["height"] * (1 - BAND))
+    heads = whole[outside].assign(heading=lambda h: h["text"].map(_heading))
+    pages = heads.groupby("heading")["page"].transform("nunique")
+    gone = heads.index[(heads["heading"] == "") | (pages >= REPEATS)]
+    return " ".join(whole["text"].drop(gone))
 
 
 def clean_pages(docs: DataFrame, content: str = "content", out: str = "text") -> DataFrame:

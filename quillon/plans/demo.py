@@ -19,10 +19,11 @@ CREATE TABLE productos (id INT PRIMARY KEY, nombre VARCHAR, precio FLOAT, stock
 
 
 def rows() -> dict[str, list[list]]:
+    # The numbers in the demo rows.
     return {
         "clientes": [[n, name, CITIES[(n - 1) % 5], 18 + n * 7 % 43] for n, name in enumerate(PEOPLE, 1)],
         "ventas": [[n, 1 + n * 5 % 24, 100 + n * 137 % 900, CATEGORIES[n % 3]] for n in range(1, 41)],
-        "productos": [[n, GOODS[n % 10], float(50 + n * 37 % 950), n * 13 % 200] for n in range(1, 31)],
+        "productos": [[n, GOODS[n % 10], float(50 + n * 37 % 950), n * 13 % 200] for n in (1 + i * 7 % 30 for i in range(30))],
     }
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import threading
 
-#: Modes from weak to strong, and those that another session may hold beside each.
+# The modes from weak to strong, and those that another session may hold beside each.
 MODES = ("PS", "PU", "PX")
 BESIDE = {"PS": {"PS", "PU"}, "PU": {"PS"}, "PX": set()}
 WAIT_SECONDS = 5.0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions.text import query_terms, terms, tokens
 from quillon.operators import codebook, search
@@ -22,13 +22,13 @@ TEXT_QUERY = "tion the erin"
 def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     """All tables, and some derived ones: customers with points, orders with nulls."""
     e = Engine(spark, parameters={"centro": CENTRE}, **options)
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     for t in TABLES:
-        e.attach(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-    customer, orders = e.tables["customer"].frame, e.tables["orders"].frame
+        e.attach(t, lambda t=t: read(t))
     place = F.expr("named_struct('lat', -12.55d + (c_custkey % 1000) / 1000.0d, 'lon', -77.55d + ((c_custkey * 7) % 1000) / 1000.0d)")
-    e.attach("shops", customer.withColumn("place", place))
-    e.attach("shops_n", customer.withColumn("place", F.when(F.col("c_custkey") % 50 != 0, place)))
-    e.attach("orders_n", orders.withColumn("price_n", F.expr("case when o_orderkey % 10 <> 0 then o_totalprice end")))
+    e.attach("shops", lambda: read("customer").withColumn("place", place))
+    e.attach("shops_n", lambda: read("customer").withColumn("place", F.when(F.col("c_custkey") % 50 != 0, place)))
+    e.attach("orders_n", lambda: read("orders").withColumn("price_n", F.expr("case when o_orderkey % 10 <> 0 then o_totalprice end")))
     return e
 
 
@@ -123,8 +123,13 @@ def match_filtered(spark, sf_dir):
     return out.select("doc_id", F.round("s", 6).alias("score"))
 
 
-def text_stemmed_bm25(spark, sf_dir):
-    return search.match(_read(spark, sf_dir, "documents").where("lang = 'es'"), "para como ciones", "doc_id", "text", stem=True)
+def match_stopwords_only(spark, sf_dir):
+    return engine(spark, sf_dir).query("SELECT doc_id, SCORE() AS s FROM documents WHERE MATCH(text, 'de la que el en y a los') AND lang = 'es'").select("doc_id")
+
+
+def _asked(spark, sf_dir):
+    """The queries of the vector searches: every row whose id is divisible by 100."""
+    return _read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
 
 
 def _query_vector(spark, sf_dir):
@@ -133,27 +138,42 @@ def _query_vector(spark, sf_dir):
 
 def _nearest(metric, where="true"):
     def run(spark, sf_dir):
-        found = search.nearest(_read(spark, sf_dir, "embeddings").where(where), _query_vector(spark, sf_dir), 10, metric)
-        return found.select("vec_id", F.round("score", 6).alias("score"))
+        found = search.nearest_many(_read(spark, sf_dir, "embeddings").where(where), _asked(spark, sf_dir), 10, metric)
+        return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
     return run
 
 
+def similar_without_index(spark, sf_dir):
+    """USING IVF over a table that has no such index searches all rows."""
+    v = ", ".join(map(str, _query_vector(spark, sf_dir)))
+    found = engine(spark, sf_dir).query(f"SELECT vec_id, SIMILARITY_SCORE() AS s FROM embeddings WHERE SIMILAR_TO(VECTOR({v}), K = 10) AND label < 8 USING IVF")
+    return found.select("vec_id", F.round("s", 6).alias("score"))
+
+
 def ivf_full_probes_equals_exact(spark, sf_dir):
     index, centres = search.ivf_index(_read(spark, sf_dir, "embeddings"))
-    found = search.ivf_nearest(index, centres, _query_vector(spark, sf_dir), 10, len(centres))
-    return found.select("vec_id", F.round("score", 6).alias("score"))
+    found = search.ivf_many(index, centres, _asked(spark, sf_dir), 10, len(centres))
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def _told_recall(exact, found, asked):
+    """Recall itself depends on drawn centroids; that it reaches 0.9 does not."""
+    return search.recall(exact, found, "query_id", "id").select(F.lit(asked.count()).alias("queries"), (F.col("recall") >= 0.9).alias("reaches_090"))
 
 
 def ivf_recall(spark, sf_dir):
-    vectors, q = _read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)
+    """At the probes that the index sets itself."""
+    vectors, asked = _read(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
     index, centres = search.ivf_index(vectors)
-    return search.recall(search.nearest(vectors, q, 10), search.ivf_nearest(index, centres, q, 10, max(1, len(centres) // 2)))
+    found = search.ivf_many(index, centres, asked, 10, search.calibrated_probes(vectors, index, centres))
+    return _told_recall(search.nearest_many(vectors, asked, 10), found, asked)
 
 
 def graph_recall(spark, sf_dir):
-    vectors, q = _read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)
-    return search.recall(search.nearest(vectors, q, 10), search.graph_nearest(vectors, q, 10, ef=200))
+    """At the default width of a walk."""
+    vectors, asked = _read(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
+    return _told_recall(search.nearest_many(vectors, asked, 10), search.graph_many(search.graph_index(vectors), asked, 10), asked)
 
 
 def chunk_words(spark, sf_dir):
@@ -162,10 +182,12 @@ def chunk_words(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
+    """With each hit's position in either list."""
     texts = search.match(_read(spark, sf_dir, "documents"), TEXT_QUERY, "doc_id", "text").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(20)
     vectors = search.nearest(_read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20).select(F.col("vec_id").alias("doc"), F.round("score", 6).alias("score"))
-    lists = [search.ranked(x, F.desc("score"), F.col("doc")).select("doc", "rank") for x in (texts, vectors)]
-    return search.fuse(lists, "doc", 10).withColumn("rrf", F.round("rrf", 9))
+    lists = {name: search.ranked(x, F.desc("score"), F.col("doc")).select("doc", "rank") for name, x in (("bm25", texts), ("vector", vectors))}
+    fused = search.fuse(lists, "doc", 10)
+    return fused.select("doc", F.round("rrf", 9).alias("rrf"), F.col("positions")["bm25"].alias("bm25_position"), F.col("positions")["vector"].alias("vector_position"))
 
 
 def last_three_user_turns(spark, sf_dir):
@@ -175,8 +197,10 @@ def last_three_user_turns(spark, sf_dir):
 
 
 def best_per_group(spark, sf_dir):
-    found = search.nearest(_read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 50)
-    return search.best_per_group(found, "label").select("label", F.round("score", 6).alias("score"))
+    """The best hit of each label, over all rows."""
+    q = _query_vector(spark, sf_dir)
+    scored = _read(spark, sf_dir, "embeddings").withColumn("score", search.vector_score(search.vector_distance(F.col("embedding"), q, "cosine"), "cosine"))
+    return search.best_per_group(scored, "label").select("label", F.round("score", 6).alias("score"))
 
 
 def threshold_curve(spark, sf_dir):
@@ -187,8 +211,14 @@ def threshold_curve(spark, sf_dir):
 
 
 def retrieval_metrics(spark, sf_dir):
-    ranks = _read(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 7 != 0, F.col("item_id") % 13 + 1).alias("rank"))
-    return search.retrieval_metrics(ranks).select("questions", *[F.round(c, 9).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10")])
+    """How high the first other row of the query's own label stands among its ten nearest."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    found = search.nearest_many(vectors, _asked(spark, sf_dir), 11).where("id <> query_id")
+    labels = vectors.select(F.col("vec_id").alias("id"), "label")
+    own = _asked(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    hits = found.withColumn("place", place).where("place <= 10").join(labels, "id").join(own, "query_id").where("label = own").groupBy("query_id").agg(F.min("place").alias("rank"))
+    return search.retrieval_metrics(own.join(hits, "query_id", "left")).select("questions", *[F.round(c, 9).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10")])
 
 
 def frequent_top_n(spark, sf_dir):
@@ -225,7 +255,7 @@ def analyze_stats(spark, sf_dir):
     return statistics(frame.select("c_custkey", "c_nationkey", "c_mktsegment"), [("c_custkey", "INT"), ("c_nationkey", "INT"), ("c_mktsegment", "TEXT")]).select("column", "n_distinct", "least", "greatest", "null_fraction")
 
 
-FUNCTIONS = {f.__name__: f for f in (group_by_point, text_tokens, text_lexicon, match_filtered, text_stemmed_bm25, ivf_full_probes_equals_exact, ivf_recall, graph_recall, chunk_words, rrf_fusion, last_three_user_turns, best_per_group, threshold_curve, retrieval_metrics, frequent_top_n, bovw_histogram, bovw_tfidf, kmeans_codebook, lloyd_round, analyze_stats)}
+FUNCTIONS = {f.__name__: f for f in (group_by_point, text_tokens, text_lexicon, match_filtered, match_stopwords_only, similar_without_index, ivf_full_probes_equals_exact, ivf_recall, graph_recall, chunk_words, rrf_fusion, last_three_user_turns, best_per_group, threshold_curve, retrieval_metrics, frequent_top_n, bovw_histogram, bovw_tfidf, kmeans_codebook, lloyd_round, analyze_stats)}
 FUNCTIONS |= {"bm25": _match("BM25"), "bm25_params": _match("BM25", k1=2.0, b=0.1), "tfidf": _match("TF_IDF"), "knn_cosine": _nearest("cosine"), "knn_euclidean": _nearest("euclidean"), "knn_dot": _nearest("dot"), "knn_vector_filtered": _nearest("cosine", "label = 3")}
 QUERIES = {k: _sql(v[0]) for k, v in PAIRS.items()} | FUNCTIONS
 
@@ -240,7 +270,18 @@ def _bm25(k1: float, b: float) -> str:
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)"
 _V = "CAST(embedding AS DOUBLE[])"
 _COS = f"list_dot_product({_V}, {_Q}) / sqrt(list_dot_product({_V}, {_V}) * list_dot_product({_Q}, {_Q}))"
-_KNN_COS = f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10"
+_SIMILAR = {
+    "cosine": ("1 - list_dot_product(e.v, q.v) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(q.v, q.v))", "1 - d"),
+    "euclidean": ("list_distance(e.v, q.v)", "1 / (1 + d)"),
+    "dot": ("-list_dot_product(e.v, q.v)", "-d"),
+}
+
+
+def _knn(metric: str, where: str = "true", k: int = 10) -> str:
+    d, score = _SIMILAR[metric]
+    return f"SELECT query_id, vec_id, r AS rank, round({score}, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS own, {d} AS d FROM (SELECT *, {_V} AS v FROM embeddings WHERE {where}) e, (SELECT *, {_V} AS v FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE r <= {k}"
+
+
 _ASSIGN = f"(SELECT e.label, c.vec_id::INT AS word, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS r FROM embeddings e, embeddings c WHERE c.vec_id < 8)"
 _HIST = f"(SELECT label, word, count(*) AS n FROM {_ASSIGN} WHERE r = 1 GROUP BY ALL)"
 
@@ -252,17 +293,21 @@ ORACLES = {k: v[1] for k, v in PAIRS.items()} | {
     "bm25_params": _bm25(2.0, 0.1),
     "match_filtered": f"SELECT doc_id, score FROM ({_bm25(1.5, 0.5)}) JOIN documents USING (doc_id) WHERE lang = 'en'",
     "tfidf": f"WITH {_TERMS}, w AS (SELECT doc_id, term, log10(1 + tf) * log10(n / df) AS w FROM post JOIN df USING (term) CROSS JOIN corpus), q AS (SELECT term, log10(2) * log10(n / df) AS wq FROM df CROSS JOIN corpus WHERE term IN ({_IN}) AND df < n), nd AS (SELECT doc_id, sqrt(sum(w * w)) AS nd FROM w GROUP BY doc_id) SELECT doc_id, round(sum(w * wq) / (any_value(nd) * (SELECT sqrt(sum(wq * wq)) FROM q)), 6) AS score FROM w JOIN q USING (term) JOIN nd USING (doc_id) GROUP BY doc_id",
-    "knn_cosine": _KNN_COS,
-    "ivf_full_probes_equals_exact": _KNN_COS,
-    "knn_vector_filtered": _KNN_COS.replace("FROM embeddings ORDER", "FROM embeddings WHERE label = 3 ORDER"),
-    "knn_euclidean": f"SELECT vec_id, round(1 / (1 + list_distance({_V}, {_Q})), 6) AS score FROM embeddings ORDER BY list_distance({_V}, {_Q}), vec_id LIMIT 10",
-    "knn_dot": f"SELECT vec_id, round(list_dot_product({_V}, {_Q}), 6) AS score FROM embeddings ORDER BY list_dot_product({_V}, {_Q}) DESC, vec_id LIMIT 10",
+    "knn_cosine": _knn("cosine"),
+    "ivf_full_probes_equals_exact": _knn("cosine"),
+    "knn_vector_filtered": _knn("cosine", "label = 3"),
+    "knn_euclidean": _knn("euclidean"),
+    "knn_dot": _knn("dot"),
+    "similar_without_index": f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings WHERE label < 8 ORDER BY {_COS} DESC, vec_id LIMIT 10",
+    "ivf_recall": "SELECT count(*)::INT AS queries, true AS reaches_090 FROM embeddings WHERE vec_id % 100 = 0",
+    "graph_recall": "SELECT count(*)::INT AS queries, true AS reaches_090 FROM embeddings WHERE vec_id % 100 = 0",
+    "match_stopwords_only": "SELECT doc_id FROM documents WHERE false",
     "chunk_words": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n, greatest(0, ceil((len(w) - 200) / 160.0))::BIGINT AS l FROM w WHERE len(w) > 0), c AS (SELECT *, CASE WHEN l > 0 AND n - (l * 160 + 40) < 60 THEN l ELSE l + 1 END AS cnt FROM n), p AS (SELECT *, unnest(range(cnt)) AS place FROM c) SELECT doc_id, place, md5(array_to_string(w[place * 160 + 1 : CASE WHEN place = cnt - 1 THEN n ELSE place * 160 + 200 END], ' ')) AS chunk_md5 FROM p",
-    "rrf_fusion": f"WITH t AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25(1.2, 0.75)}) QUALIFY r <= 20), v AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY round({_COS}, 6) DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20) SELECT doc, round(sum(1.0e0 / (60 + r)), 9) AS rrf FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc ORDER BY sum(1.0e0 / (60 + r)) DESC, doc LIMIT 10",
+    "rrf_fusion": f"WITH t AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25(1.2, 0.75)}) QUALIFY r <= 20), v AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY round({_COS}, 6) DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20) SELECT doc, round(sum(1.0e0 / (60 + r)), 9) AS rrf, max(CASE WHEN l = 't' THEN r END)::INT AS bm25_position, max(CASE WHEN l = 'v' THEN r END)::INT AS vector_position FROM (SELECT *, 't' AS l FROM t UNION ALL SELECT *, 'v' AS l FROM v) GROUP BY doc ORDER BY sum(1.0e0 / (60 + r)) DESC, doc LIMIT 10",
     "last_three_user_turns": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS search_text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') WHERE r <= 3 GROUP BY conv_id",
-    "best_per_group": f"SELECT label, round(max(s), 6) AS score FROM (SELECT label, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 50) GROUP BY label",
+    "best_per_group": f"SELECT label, round(max(s), 6) AS score FROM (SELECT label, {_COS} AS s FROM embeddings) GROUP BY label",
     "threshold_curve": f"WITH s AS (SELECT label < 8 AS known, vec_id % 3 > 0 AS ok, round({_COS}, 6) AS s FROM embeddings), t AS (SELECT unnest([0.0e0, 0.1e0, 0.2e0, 0.3e0]) AS threshold) SELECT threshold, round(avg(CASE WHEN known THEN (s >= threshold AND ok)::INT END), 9) AS accept_rate, round(avg(CASE WHEN NOT known THEN (s < threshold)::INT END), 9) AS reject_rate, round(avg(CASE WHEN known THEN (s >= threshold AND NOT ok)::INT END), 9) AS error_rate FROM s, t GROUP BY threshold",
-    "retrieval_metrics": "WITH r AS (SELECT CASE WHEN item_id % 7 <> 0 THEN item_id % 13 + 1 END AS r FROM benchmark) SELECT count(*) AS questions, round(avg(coalesce(1.0e0 / r, 0)), 9) AS mrr, round(avg(CASE WHEN r <= 1 THEN 1.0e0 ELSE 0 END), 9) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0e0 ELSE 0 END), 9) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0e0 ELSE 0 END), 9) AS recall_10 FROM r",
+    "retrieval_metrics": f"WITH h AS (SELECT query_id, min(place) AS r FROM (SELECT query_id, e.label, o.label AS own, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM ({_knn('cosine', k=11)}) k JOIN embeddings e ON e.vec_id = k.vec_id JOIN embeddings o ON o.vec_id = query_id WHERE k.vec_id <> query_id) WHERE place <= 10 AND label = own GROUP BY query_id), r AS (SELECT r FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN h ON h.query_id = q.vec_id) SELECT count(*) AS questions, round(avg(coalesce(1.0e0 / r, 0)), 9) AS mrr, round(avg(CASE WHEN r <= 1 THEN 1.0e0 ELSE 0 END), 9) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0e0 ELSE 0 END), 9) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0e0 ELSE 0 END), 9) AS recall_10 FROM r",
     "frequent_top_n": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 20",
     "bovw_histogram": f"SELECT label, word, n FROM {_HIST}",
     "bovw_tfidf": f"WITH h AS (SELECT * FROM {_HIST}) SELECT label, word, round(n / sum(n) OVER (PARTITION BY label)::DOUBLE * ln((SELECT count(DISTINCT label) FROM h)::DOUBLE / count(*) OVER (PARTITION BY word)), 9) AS weight FROM h",

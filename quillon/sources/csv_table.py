@@ -6,19 +6,22 @@ FLOAT, TEXT if a cell has over 32 bytes, STRING. Blank cells are null and fit ev
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-POINT = rf"(?i)^POINT\s*\(\s*({NUMBER})\s*[, ]\s*({NUMBER})\s*\)$"
-#: What counts as a whole and as any number; NAN and INF are numbers that no FLOAT holds.
-WHOLE, REAL = r"^[-+]?\d+(_\d+)*$", rf"(?i)^(?:{NUMBER}|[-+]?(?:nan|inf|infinity))$"
+from quillon.plans.dialect import NUMERAL
+
+SIGNED = rf"^[+-]?{NUMERAL}$"
+#: Numbers that no FLOAT holds: a column of them is refused, not read as text.
+BOUNDLESS = ("nan", "inf", "infinity")
 STRING_BYTES, FLOAT_MOST = 32, 3.4028234663852886e38
 ROW = "_whole_row"
 
 
+def is_name(text: str) -> bool:
+    """Letters, digits and underscores of ASCII, no digit in front."""
+    return text.isascii() and text.isidentifier()
+
+
 class CsvError(ValueError):
     """The file can't become a table."""
 
@@ -32,7 +35,7 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     if not first:
         raise CsvError("the file is empty")
     names = [(c or "").lstrip("﻿").strip() for c in first[0]]
-    bad = [n for n in names if not NAME.fullmatch(n)]
+    bad = [n for n in names if not is_name(n)]
     if bad:
         raise CsvError(f"not a column name: {bad[0]!r}")
     if len(set(names)) < len(names):
@@ -40,10 +43,25 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+def _digits(cell: Column) -> Column:
+    """A cell of groups of digits, parted by single underscores, without those; else null."""
+    groups = F.split(F.regexp_replace(cell, "^[+-]", ""), "_")
+    return F.when(F.forall(groups, lambda g: g.rlike("^[0-9]+$")), F.replace(cell, F.lit("_"), F.lit("")))
+
+
+def _numbers_in_point(cell: Column) -> Column:
+    """The two numbers of ``POINT(a b)`` or ``POINT(a, b)``, in any case, as texts; else null."""
+    plain = F.upper(cell)
+    inner = F.trim(F.regexp_extract(plain, r"^POINT\s*\((.*)\)$", 1))
+    parts = F.split(inner, r"\s*[,\s]\s*")
+    return F.when((F.size(parts) == 2) & F.forall(parts, lambda x: x.rlike(SIGNED)), parts)
+
+
 def _fits(cell: Column) -> list[Column]:
     """Whether there is a value, and whether each type holds all values."""
-    whole = lambda test: F.coalesce(F.every(test), F.lit(True))
-    return [F.count(cell) > 0, whole(cell.rlike(POINT)), whole(cell.rlike(WHOLE)), whole(cell.rlike(REAL)), F.coalesce(F.max(F.octet_length(cell)), F.lit(0)) > STRING_BYTES]
+    whole = lambda test: F.coalesce(F.every(F.when(cell.isNotNull(), test)), F.lit(True))
+    boundless = F.lower(F.regexp_replace(cell, "^[+-]", "")).isin(*BOUNDLESS)
+    return [F.count(cell) > 0, whole(_numbers_in_point(cell).isNotNull()), whole(_digits(cell).isNotNull()), whole(cell.rlike(SIGNED) | boundless), F.coalesce(F.max(F.octet_length(cell)), F.lit(0)) > STRING_BYTES]
 
 
 def _kind(some: bool, point: bool, whole: bool, real: bool, long: bool) -> str:
@@ -56,13 +74,13 @@ def _typed(cell: Column, kind: str) -> tuple[Column, Column]:
     """The value, and whether it is out of the type's range."""
     never = F.lit(False)
     if kind == "INT":
-        wide = F.regexp_replace(cell, "_", "").try_cast("decimal(38,0)")
+        wide = _digits(cell).try_cast("decimal(38,0)")
         return wide.try_cast("int"), cell.isNotNull() & (wide.isNull() | ~wide.between(-(2**31), 2**31 - 1))
     if kind == "FLOAT":
         value = cell.try_cast("double")
         return value.cast("float"), cell.isNotNull() & (value.isNull() | F.isnan(value) | (F.abs(value) > FLOAT_MOST))
     if kind == "POINT":
-        lat, lon = (F.regexp_extract(cell, POINT, i).try_cast("double") for i in (1, 2))
+        lat, lon = (_numbers_in_point(cell)[i].try_cast("double") for i in (0, 1))
         infinite = F.greatest(F.abs(lat), F.abs(lon)) == float("inf")
         return F.when(cell.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))), F.coalesce(infinite, never)
     return cell, never
