@@ -6,9 +6,11 @@ import time
 
 from pyspark.sql import SparkSession
 
-from quillon.plans.queries import QUERIES
+from quillon.plans import applied, queries
 
-HEADLINE = ["scan_filter_project", "group_all_aggregates", "join_three_pushdown", "order_nulls_desc", "topk", "radius_haversine", "knn", "polygon_concave_border", "join_radius_group", "text_lexicon", "bm25", "tfidf", "knn_cosine", "knn_euclidean", "chunk_words", "rrf_fusion"]
+QUERIES = queries.QUERIES | applied.QUERIES
+
+HEADLINE = ["scan_filter_project", "group_all_aggregates", "join_three_pushdown", "order_nulls_desc", "topk", "radius_haversine", "knn", "polygon_concave_border", "join_radius_group", "text_lexicon", "bm25", "tfidf", "bm25_indexed", "tfidf_indexed", "knn_cosine", "knn_euclidean", "chunk_words", "rrf_fusion"]
 
 
 def main() -> None:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TOKEN = "([a-záéíóúñü]+)"
+#: What parts words, and texts that are counted at once.
+OUTSIDE, TEXTS = "[^a-záéíóúñü]+", 1024
 VOWELS = "aeiouáéíóúü"
 #: The 608 Spanish words that a full-text search leaves out.
 STOPWORDS = files(__package__).joinpath("stoplist_es.txt").read_text("utf-8").split()
@@ -126,44 +127,83 @@ def stem_es(word: str) -> str:
     return word.translate(str.maketrans("áéíóú", "aeiou"))
 
 
-def words_of(text: Column, stopwords: list[str] = ()) -> Column:
-    """The tokens that a search looks at, as they stand."""
-    found = tokens(text)
-    return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer parts than those; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's words as stems; a worker makes the stem of a word once."""
-    known: dict[str, str] = {}
+class _Words:
+    """Numbers the terms of whole batches of texts; a worker meets a word's stem once."""
+
+    def __init__(self, stopwords: list[str], stem: bool):
+        self.left_out, self.stem, self.known = {"", *stopwords}, stem, {}
+
+    def root(self, word: str) -> str:
+        if not self.stem:
+            return word
+        if len(self.known) > 500_000:
+            self.known.clear()
+        return self.known.get(word) or self.known.setdefault(word, stem_es(word))
+
+    def numbered(self, lower: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Terms, the number of each word's term in order, and the text of each word."""
+        split = pc.split_pattern_regex(lower, OUTSIDE)
+        flat = split.flatten().dictionary_encode()
+        number: dict[str, int] = {}
+        code = [-1 if w in self.left_out else number.setdefault(self.root(w), len(number)) for w in flat.dictionary.to_pylist()]
+        codes = np.array(code, np.int64)[flat.indices.to_numpy()] if code else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())
+        return list(number), codes[codes >= 0], owner[codes >= 0]
+
+
+def _lower(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.lower(text_col).alias("text"))
+    return spread(known)
+
+
+def _slices(batches):
     for batch in batches:
-        flat = batch["words"].flatten().dictionary_encode()
-        roots = [known.get(w) or known.setdefault(w, stem_es(w)) for w in flat.dictionary.to_pylist()]
-        stems = pa.array(roots, pa.string()).take(flat.indices)
-        if len(known) > 500_000:
-            known.clear()
-        sizes = pc.fill_null(pc.list_value_length(batch["words"]), 0)
-        ends = pc.cumulative_sum(sizes).to_numpy()
-        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-        yield pa.record_batch({"doc": batch["doc"], "words": pa.ListArray.from_arrays(offsets, stems)})
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
 
+def counts(docs: DataFrame, id_col: str, text_col: str, asked: list[str], stopwords: list[str] = (), stem: bool = False) -> DataFrame:
+    """``doc, len, tf``: a text's number of words, and how often each asked term stands in it. Null texts have no row."""
 
-def bags(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] = (), stem: bool = False) -> DataFrame:
-    """``doc, words``: the terms of each text that is not null, in order, without a shuffle."""
-    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), words_of(F.col(text_col), list(stopwords)).alias("words"))
-    return cut.mapInArrow(_stems, cut.schema) if stem else cut
+    def count(batches):
+        words = _Words(stopwords, stem)
+        for part in _slices(batches):
+            names, codes, owner = words.numbered(part["text"])
+            n, place = part.num_rows, {t: i for i, t in enumerate(names)}
+            tf = np.stack([np.bincount(owner[codes == place.get(t, -1)], minlength=n) for t in asked], 1) if asked else np.zeros((n, 0), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(asked), pa.int32()), pa.array(tf.reshape(-1), pa.int64()))
+            yield pa.record_batch({"doc": part["doc"], "len": pa.array(np.bincount(owner, minlength=n), pa.int64()), "tf": lists})
 
+    read = _lower(docs, id_col, text_col)
+    return read.mapInArrow(count, T.StructType([read.schema["doc"], T.StructField("len", T.LongType()), T.StructField("tf", T.ArrayType(T.LongType()))]))
 
-def terms(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] = (), stem: bool = False) -> DataFrame:
-    """``doc, term, tf``: the bag of words of each text.
 
-    A text's words are sorted within its row and runs of equal ones are counted: no shuffle.
+def terms(docs: DataFrame, id_col: str, text_col: str, stopwords: list[str] = (), stem: bool = False, among: list[str] | None = None) -> DataFrame:
+    """``doc, term, tf``: the bag of words of each text, counted where the text is read: no shuffle.
+
+    With ``among`` only of texts that hold one of those terms.
     """
-    ordered = bags(docs, id_col, text_col, stopwords, stem).select("doc", F.array_sort("words").alias("w")).where(F.size("w") > 0)
-    begins = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
-    placed = ordered.select("doc", "w", begins.alias("at"))
-    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("w") + 1))
-    runs = placed.select("doc", "w", F.explode(F.arrays_zip(F.col("at").alias("a"), ends.alias("b"))).alias("r"))
-    return runs.select("doc", F.get("w", F.col("r.a") - 1).alias("term"), (F.col("r.b") - F.col("r.a")).cast("long").alias("tf"))
+
+    def count(batches):
+        words = _Words(stopwords, stem)
+        for part in _slices(batches):
+            names, codes, owner = words.numbered(part["text"])
+            if among is not None:
+                hit = np.zeros(part.num_rows, bool)
+                hit[owner[np.isin(codes, [i for i, t in enumerate(names) if t in among])]] = True
+                codes, owner = codes[hit[owner]], owner[hit[owner]]
+            pair, tf = np.unique(owner * max(len(names), 1) + codes, return_counts=True)
+            doc, term = np.divmod(pair, max(len(names), 1))
+            yield pa.record_batch({"doc": part["doc"].take(pa.array(doc)), "term": pa.array(names, pa.string()).take(pa.array(term)), "tf": pa.array(tf, pa.int64())})
+
+    read = _lower(docs, id_col, text_col)
+    return read.mapInArrow(count, T.StructType([read.schema["doc"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 
 
 def query_terms(text: str, stopwords: list[str] = (), stem: bool = False) -> dict[str, int]:

@@ -9,56 +9,47 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quillon.functions.text import bags, query_terms, terms, words_of
+from quillon.functions.text import counts, query_terms, terms
 
 
 def _by_term(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("term")]
 
 
-def bm25_weight(asked: int, n: float, df: float) -> float:
-    return asked * math.log((n - df + 0.5) / (df + 0.5) + 1)
-
-
-def _saturated(tf: Column, length: Column, avgdl: float, k1: float, b: float) -> Column:
+def _saturated(tf: Column, length: Column, avgdl: float | Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
 
-def _often(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == F.lit(term)))
-
-
 def match(docs: DataFrame, query: str, id_col: str, text_col: str, method: str = "BM25", k1: float = 1.2, b: float = 0.75, **options) -> DataFrame:
     """``doc, score`` of all texts that score above 0; order by score and doc to rank them.
 
-    Without an index: the asked terms are counted within each row, and one row of sums (texts,
-    words, texts that hold each term) is all that moves for BM25. TF-IDF also needs how many
-    texts hold each word, for the lengths of the texts that are hit. Null texts aren't
-    counted, empty ones are.
+    Without an index: the asked terms are counted where a text is read, and one row of sums
+    (texts, words, texts that hold each term) is all that BM25 needs besides. TF-IDF also
+    needs how many texts hold each word, for the lengths of the texts that are hit. Null
+    texts aren't counted, empty ones are.
     """
     asked = query_terms(query, **options)
     nothing = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())]))
     if not asked:
         return nothing
     names = list(asked)
-    held = bags(docs, id_col, text_col, **options)
-    counted = held.select("doc", F.size("words").alias("len"), *[_often(t).alias(f"tf_{i}") for i, t in enumerate(names)])
-    sums = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(names))]).first()
-    n, avgdl = float(sums["n"]), sums["avgdl"] or 1.0
-    frequencies = {t: sums[f"df_{i}"] for i, t in enumerate(names) if sums[f"df_{i}"]}
-    if not frequencies:
-        return nothing
+    counted = counts(docs, id_col, text_col, names, **options)
+    sums = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df_{i}") for i in range(len(names))])
     if method == "BM25":
-        parts = [F.lit(bm25_weight(asked[t], n, frequencies[t])) * _saturated(F.col(f"tf_{i}"), F.col("len"), avgdl, k1, b) for i, t in enumerate(names) if t in frequencies]
-        return counted.select("doc", sum(parts[1:], parts[0]).alias("score")).where("score > 0")
-    wanted = {t: math.log10(1 + asked[t]) * math.log10(n / df) for t, df in frequencies.items() if df < n}
+        # a light row for each text moves once, and both the sums and the scores are made of it
+        light = counted.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+        sums = light.agg(F.count("*").cast("double").alias("n"), F.greatest(F.avg("len"), F.when(F.avg("len") == 0, 1.0)).alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df_{i}") for i in range(len(names))])
+        hits = light.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(sums))
+        parts = [F.lit(asked[t]) * F.log((F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5) + 1) * _saturated(F.col("tf")[i], F.col("len"), F.col("avgdl"), k1, b) for i, t in enumerate(names)]
+        return hits.select("doc", sum(parts[1:], parts[0]).alias("score")).where("score > 0")
+    told = sums.first()
+    n = float(told["n"])
+    wanted = {t: math.log10(1 + asked[t]) * math.log10(n / df) for i, t in enumerate(names) if 0 < (df := told[f"df_{i}"]) < n}
     if not wanted:
         return nothing
     norm = math.sqrt(sum(w * w for w in wanted.values()))
-    every = terms(docs, id_col, text_col, **options)
-    some = F.array(*map(F.lit, wanted))
-    hit = terms(docs.where(F.arrays_overlap(words_of(F.col(text_col)), some)) if not options.get("stem") else docs, id_col, text_col, **options)
-    weighed = hit.join(every.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("w", F.log10(1 + F.col("tf")) * F.log10(n / F.col("df")))
+    often = terms(docs, id_col, text_col, **options).groupBy("term").agg(F.count("*").alias("df"))
+    weighed = terms(docs, id_col, text_col, **options, among=list(wanted)).join(often, "term").withColumn("w", F.log10(1 + F.col("tf")) * F.log10(n / F.col("df")))
     dots = weighed.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * _by_term(wanted)).alias("dot"))
     return dots.where("dot > 0").select("doc", (F.col("dot") / (F.col("norm") * norm)).alias("score")).where("score > 0")
 

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quillon.functions.text import bags, query_terms, terms
+from quillon.functions.text import query_terms, terms
 
 from .search import _by_term, _saturated
 
@@ -33,11 +33,16 @@ class TextIndex:
 
 
 def build_text_index(docs: DataFrame, id_col: str, text_col: str, path: str, **options) -> TextIndex:
-    """Index every text that is not null; empty ones count, but have no posting."""
-    sums = bags(docs, id_col, text_col, **options).agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
-    n, words = sums["n"], sums["words"] or 0
+    """Index every text that is not null; empty ones count, but have no posting.
+
+    Texts are read once: their bags are written beside the index, and gone when it is made.
+    """
+    spark = docs.sparkSession
+    terms(docs, id_col, text_col, **options).write.parquet(f"{path}-bags")
+    bag = spark.read.parquet(f"{path}-bags")
+    n = docs.where(F.col(text_col).isNotNull()).count()
+    words = bag.agg(F.sum("tf")).first()[0] or 0
     buckets = max(1, min(BUCKETS, math.ceil(words / BUCKET)))
-    bag = terms(docs, id_col, text_col, **options)
     held = bag.join(bag.groupBy("term").agg(F.count("*").alias("df")), "term")
     weight = F.log10(1 + F.col("tf")) * F.log10(F.lit(float(max(n, 1))) / F.col("df"))
     sized = held.groupBy("doc").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
@@ -45,6 +50,7 @@ def build_text_index(docs: DataFrame, id_col: str, text_col: str, path: str, **o
     # a term in most texts fills tasks of its own: rows of a bucket are dealt by document too
     dealt = postings.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(max(1, min(64, math.ceil(words / BUCKET))))))
     dealt.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(path)
+    spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(f"{path}-bags")
     return TextIndex(path, buckets, n, (words / n if n else 0.0) or 1.0)
 
 

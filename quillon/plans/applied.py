@@ -57,6 +57,15 @@ def _indexed(method: str):
     return run
 
 
+def rrf_fusion(spark, sf_dir):
+    """Hybrid search: BM25 over the kept index and cosines over all vectors, fused by rank, with each hit's positions."""
+    texts = _indexed("BM25")(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(20).withColumnRenamed("doc_id", "doc")
+    vectors = search.nearest(_read(spark, sf_dir, "embeddings"), Q._query_vector(spark, sf_dir), 20).select(F.col("vec_id").alias("doc"), F.round("score", 6).alias("score"))
+    lists = {name: search.ranked(x, F.desc("score"), F.col("doc")).select("doc", "rank") for name, x in (("bm25", texts), ("vector", vectors))}
+    fused = search.fuse(lists, "doc", 10)
+    return fused.select("doc", F.round("rrf", 9).alias("rrf"), F.col("positions")["bm25"].alias("bm25_position"), F.col("positions")["vector"].alias("vector_position"))
+
+
 def _tables(spark, sf_dir, statement: str, frame: DataFrame, name: str, order: str) -> Engine:
     """An engine with one managed table, filled."""
     e = Engine(spark, _folder(spark), parameters={"centro": Q.CENTRE})
@@ -246,7 +255,7 @@ def dense_numbers(spark, sf_dir):
     return numbered(_read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey"), "o_orderkey", "place", 1000)
 
 
-QUERIES = {f.__name__: f for f in (match_stemmed, spatial_tiles, import_effect, append_effect, persons_effect, metadata_filter, source_join, precision_recall_10, tolerant_recall, ranking_check, question_sample, time_statistics, evaluation_levels, identify_flow, best_threshold, top1_agreement, cache_simulation, face_corpus, dense_numbers)}
+QUERIES = {f.__name__: f for f in (match_stemmed, rrf_fusion, spatial_tiles, import_effect, append_effect, persons_effect, metadata_filter, source_join, precision_recall_10, tolerant_recall, ranking_check, question_sample, time_statistics, evaluation_levels, identify_flow, best_threshold, top1_agreement, cache_simulation, face_corpus, dense_numbers)}
 QUERIES |= {
     "bm25_indexed": _indexed("BM25"),
     "tfidf_indexed": _indexed("TF_IDF"),

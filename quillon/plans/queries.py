@@ -181,15 +181,6 @@ def chunk_words(spark, sf_dir):
     return cut.select("doc_id", F.col("place").cast("long").alias("place"), F.md5("chunk").alias("chunk_md5"))
 
 
-def rrf_fusion(spark, sf_dir):
-    """With each hit's position in either list."""
-    texts = search.match(_read(spark, sf_dir, "documents"), TEXT_QUERY, "doc_id", "text").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(20)
-    vectors = search.nearest(_read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20).select(F.col("vec_id").alias("doc"), F.round("score", 6).alias("score"))
-    lists = {name: search.ranked(x, F.desc("score"), F.col("doc")).select("doc", "rank") for name, x in (("bm25", texts), ("vector", vectors))}
-    fused = search.fuse(lists, "doc", 10)
-    return fused.select("doc", F.round("rrf", 9).alias("rrf"), F.col("positions")["bm25"].alias("bm25_position"), F.col("positions")["vector"].alias("vector_position"))
-
-
 def last_three_user_turns(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").where("role = 'user'")
     said = F.sort_array(F.collect_list(F.struct("turn", "text")))
@@ -255,7 +246,7 @@ def analyze_stats(spark, sf_dir):
     return statistics(frame.select("c_custkey", "c_nationkey", "c_mktsegment"), [("c_custkey", "INT"), ("c_nationkey", "INT"), ("c_mktsegment", "TEXT")]).select("column", "n_distinct", "least", "greatest", "null_fraction")
 
 
-FUNCTIONS = {f.__name__: f for f in (group_by_point, text_tokens, text_lexicon, match_filtered, match_stopwords_only, similar_without_index, ivf_full_probes_equals_exact, ivf_recall, graph_recall, chunk_words, rrf_fusion, last_three_user_turns, best_per_group, threshold_curve, retrieval_metrics, frequent_top_n, bovw_histogram, bovw_tfidf, kmeans_codebook, lloyd_round, analyze_stats)}
+FUNCTIONS = {f.__name__: f for f in (group_by_point, text_tokens, text_lexicon, match_filtered, match_stopwords_only, similar_without_index, ivf_full_probes_equals_exact, ivf_recall, graph_recall, chunk_words, last_three_user_turns, best_per_group, threshold_curve, retrieval_metrics, frequent_top_n, bovw_histogram, bovw_tfidf, kmeans_codebook, lloyd_round, analyze_stats)}
 FUNCTIONS |= {"bm25": _match("BM25"), "bm25_params": _match("BM25", k1=2.0, b=0.1), "tfidf": _match("TF_IDF"), "knn_cosine": _nearest("cosine"), "knn_euclidean": _nearest("euclidean"), "knn_dot": _nearest("dot"), "knn_vector_filtered": _nearest("cosine", "label = 3")}
 QUERIES = {k: _sql(v[0]) for k, v in PAIRS.items()} | FUNCTIONS
 

@@ -167,16 +167,16 @@ def test_explain_counts_the_rows_of_each_node(spark, tmp_path):
     _ok(e.sql("CREATE TABLE a (id INT PRIMARY KEY, n INT) USING BPLUS; CREATE TABLE b (id INT PRIMARY KEY, a INT); INSERT INTO a VALUES (1, 5), (2, 6), (3, 7); INSERT INTO b VALUES (1, 1), (2, 1), (3, 9)"))
     r = _ok(e.sql("EXPLAIN ANALYZE SELECT a.id, b.id FROM a JOIN b ON a.id = b.a WHERE a.n < 6 ORDER BY b.id LIMIT 5"))[0]
     tree = r.plan.tree()
-    assert tree["node"] == "Limit" and tree["actual"]["rows"] == 2
+    assert tree["kind"] == "Limit" and tree["actual"] == 2
     nodes = {}
 
     def walk(n):
-        nodes[n["title"]] = n
+        nodes[n["kind"] + (f" on {n['relation']}" if n["relation"] else "")] = n
         for c in n["children"]:
             walk(c)
 
     walk(tree)
-    assert {"Top-N Sort", "Filter", "Hash Join", "Seq Scan on a", "Seq Scan on b"} <= set(nodes) and nodes["Seq Scan on b"]["actual"]["rows"] == 3
+    assert {"Top-N Sort", "Filter", "Hash Join", "Seq Scan on a", "Seq Scan on b"} <= set(nodes) and nodes["Seq Scan on b"]["actual"] == 3
     assert "Index Scan using a_key on a" in e.sql("EXPLAIN SELECT id FROM a WHERE id BETWEEN 1 AND 2")[0].report
     r = e.sql("EXPLAIN DELETE FROM a WHERE id = 1")[0]
     assert "Modify on a" in r.report and e.query("SELECT COUNT(*) FROM a").first()[0] == 3
@@ -190,7 +190,7 @@ def test_answers_for_a_client(spark, tmp_path):
     wrong = e.respond("SELECT x FROM t; SELECT id FROM t")
     assert "x" in wrong["error"] and wrong["statements"][1]["rows"] == [{"id": 1}]
     assert "error" in e.respond("BEGIN TRANSACTION; SELECT id FROM t") and "error" in e.respond("END TRANSACTION") and "error" in e.respond("SELEC")
-    assert e.respond("EXPLAIN SELECT id FROM t")["explain"]["tree"]["node"] == "Seq Scan"
+    assert e.respond("EXPLAIN SELECT id FROM t")["explain"]["tree"]["kind"] == "Seq Scan"
     told = e.described_all()
     assert [t["name"] for t in told] == ["t"] and told[0]["rows"] == 1 and told[0]["columns"][0]["key"]
 
