@@ -7,7 +7,7 @@
    slices of the row.
 2. The sketches of a slice are merged by adding up counters. A sum is never below the true
    count, so no repeated window is lost; each batch is told which of its cells reach two.
-3. A second pass groups exactly the windows in those cells by a 128-bit hash. A batch sends
+3. A second pass groups exactly the windows in those cells by a hash of HASH_BITS. A batch sends
    each such window once, with its first place in the batch, so a passage in a third of all
    documents costs one entry a batch. The first holder keeps its window.
 
@@ -35,6 +35,8 @@ from .cluster import checkpointed, width
 WIDE, WINDOW_BYTES = 10, 6
 #: Bytes of text in a batch, and windows in a slice, about, and how much larger they may get.
 BATCH_BYTES, SLICE_WINDOWS, LARGER = 6_000_000, 2_000_000, 8
+#: Bits of the hash that tells windows apart: of 1e13 windows two differ and agree with a chance of 3e-6.
+HASH_BITS = 104
 #: Windows that a message holds, about, before batches and slices grow.
 FILLED = 32
 MESSAGE = "slice int, batch int, payload binary"
@@ -80,7 +82,7 @@ class _Batch:
             at, owner = W.inside_texts(found.counts, window)
             base = W.hashes(found, 1)
             h1 = W.runs(base, window)[at] if len(at) else np.zeros(0, W.U64)
-            h2 = W.runs(W.hashes(found, 2), window)[at] if deep and len(at) else h1
+            h2 = W.runs(W.hashes(found, 2), window)[at] >> W.U64(128 - HASH_BITS) if deep and len(at) else h1
             first = found.offsets[:-1]
             parts.append((h1, h2, owner + n, at - first[owner]))
             self.counts.append(found.counts)
