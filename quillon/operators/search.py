@@ -218,7 +218,7 @@ def _top(distances: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(distances, axis=1, kind="stable")[:, :k]
 
 
-def calibrated_probes(vectors: DataFrame, index: DataFrame, centres: np.ndarray, metric: str = "cosine", k: int = 10, target: float = 0.95, drawn: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+def calibrated_probes(vectors: DataFrame, index: DataFrame, centres: np.ndarray, metric: str = "cosine", k: int = 10, target: float = 0.97, drawn: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
     """The fewest probes at which ``drawn`` sampled rows find ``target`` of their exact ``k`` nearest.
 
     The exact answers are looked up once with the cells they lie in, so that any number of

@@ -96,6 +96,15 @@ def _similar(index: str, using: str):
     return run
 
 
+def index_internals(spark, sf_dir):
+    """What a cell index holds, and the files of a table in ranges of its key."""
+    e = _vectors(spark, sf_dir)
+    e.sql("CREATE INDEX cells ON img (v) USING IVF WITH (METRIC = cosine, LISTS = 8)")
+    cells = e.index_report("cells").agg(F.count("*").alias("cells"), F.sum("rows").alias("rows"))
+    files = e.layout_report("img").select(F.col("least").cast("int"), F.col("greatest").cast("int"), "rows").agg(F.sum("rows").alias("stored"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    return cells.crossJoin(files)
+
+
 def spatial_tiles(spark, sf_dir):
     """A radius over a table laid out by tiles."""
     shops = Q.engine(spark, sf_dir).tables["shops"].frame.select(F.col("c_custkey").alias("id"), "place")
@@ -255,7 +264,7 @@ def dense_numbers(spark, sf_dir):
     return numbered(_read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey"), "o_orderkey", "place", 1000)
 
 
-QUERIES = {f.__name__: f for f in (match_stemmed, rrf_fusion, spatial_tiles, import_effect, append_effect, persons_effect, metadata_filter, source_join, precision_recall_10, tolerant_recall, ranking_check, question_sample, time_statistics, evaluation_levels, identify_flow, best_threshold, top1_agreement, cache_simulation, face_corpus, dense_numbers)}
+QUERIES = {f.__name__: f for f in (match_stemmed, rrf_fusion, index_internals, spatial_tiles, import_effect, append_effect, persons_effect, metadata_filter, source_join, precision_recall_10, tolerant_recall, ranking_check, question_sample, time_statistics, evaluation_levels, identify_flow, best_threshold, top1_agreement, cache_simulation, face_corpus, dense_numbers)}
 QUERIES |= {
     "bm25_indexed": _indexed("BM25"),
     "tfidf_indexed": _indexed("TF_IDF"),
@@ -289,6 +298,7 @@ ORACLES = {
     "similar_ivf_index": Q.ORACLES["similar_without_index"],
     "similar_hnsw_index": Q.ORACLES["similar_without_index"],
     "similar_no_using": Q.ORACLES["similar_without_index"],
+    "index_internals": "SELECT 8::BIGINT AS cells, count(*) AS rows, count(*) AS stored, min(vec_id)::INT AS least, max(vec_id)::INT AS greatest FROM embeddings",
     "spatial_tiles": Q.ORACLES["radius_haversine"],
     "import_effect": "SELECT count(*) AS conteo, 1 AS min_id, count(*)::INT AS max_id, sum(c_custkey)::BIGINT AS sum_c_custkey FROM customer",
     "append_effect": "SELECT id::INT AS id, CASE WHEN id = 5 THEN 100 WHEN id % 2 = 0 THEN (id // 2)::INT END AS n FROM (SELECT unnest(range(36)) AS id) WHERE id <> 6",

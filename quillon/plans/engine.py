@@ -37,6 +37,9 @@ FLOAT_MOST = 3.4028234663852886e38
 RID = "_rid"
 #: Folders of a table before an insert writes them as one; degrees of a tile that points are stored by.
 FOLDERS, TILE = 16, 0.05
+# Bytes that a stored record may have; what a value of each type, and the record itself, take.
+RECORD_MOST, RECORD_OWN = 4080, 16
+BYTES = {"INT": 4, "FLOAT": 4, "DATE": 32, "TEXT": 12, "POINT": 16, "VECTOR": 0}
 #: After this many changes, and this share of the rows, statistics are made anew.
 CHANGES, CHANGED_SHARE = 50, 0.1
 
@@ -62,6 +65,7 @@ class Table:
     rows: int | None = None
     changes: int = 0
     analyzed: bool = False
+    ordered_by: str | None = None
 
     def column(self, name: str) -> dict:
         found = next((c for c in self.columns if c["name"] == name), None)
@@ -108,7 +112,7 @@ def _touched(s: dict) -> dict[str, str]:
 
 
 #: What a saved catalogue keeps of a table.
-SAVED = ("name", "columns", "version", "layout", "indexes", "statistics", "folder", "parts", "past", "last_rid", "rows", "changes", "analyzed")
+SAVED = ("name", "columns", "version", "layout", "indexes", "statistics", "folder", "parts", "past", "last_rid", "rows", "changes", "analyzed", "ordered_by")
 
 
 class Tables(dict):
@@ -235,6 +239,28 @@ class Engine:
     def described_all(self) -> list[dict]:
         return [self.described(n) for n in self.tables.names()]
 
+    def index_report(self, name: str) -> DataFrame:
+        """What an index holds: rows of each cell, vectors and links of each shard, or terms and postings of each bucket."""
+        table = next((t for t in self.tables.values() if name in t.indexes), None)
+        if table is None or "path" not in table.indexes[name]:
+            raise SemanticError(f"there is no stored index {name}")
+        index = self._fresh(table, table.indexes[name])
+        held = self.spark.read.parquet(index["path"])
+        if index["method"] == "IVF":
+            return held.groupBy("cell").agg(F.count("*").alias("rows"))
+        if index["method"] == "HNSW":
+            return held.select("shard", (F.length("ids") / 8).cast("long").alias("rows"), (F.length("links") / 4).cast("long").alias("links"))
+        return held.groupBy("bucket").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+    def layout_report(self, name: str) -> DataFrame:
+        """``file, rows, least, greatest`` of the column that a managed table is laid out by."""
+        table = self._managed(name)
+        if not table.parts:
+            return self.spark.createDataFrame([], "file string, rows long, least string, greatest string")
+        key = F.col(f"`{table.ordered_by}`")
+        read = self.spark.read.schema(_schema(table.columns)).parquet(*table.parts).select(key.alias("k"), F.col("_metadata.file_path").alias("file"))
+        return read.groupBy("file").agg(F.count("*").alias("rows"), F.min("k").cast("string").alias("least"), F.max("k").cast("string").alias("greatest"))
+
     def reset(self) -> list[str]:
         """Drop every managed table, its files too; the names of those that went."""
         names = sorted(n for n, t in self.tables.items() if t.managed)
@@ -516,7 +542,13 @@ class Engine:
             raise SemanticError("a key is a number, a VARCHAR or a DATE")
         if not self.warehouse:
             raise SemanticError("tables need a warehouse folder")
-        table = Table(s["table"], s["columns"], None, True, 0, s["using"] or "HASH", folder=f"{self.warehouse}/{s['table']}-{uuid.uuid4().hex[:12]}", rows=0)
+        scalars = [c["name"] for c in s["columns"] if c["type"] not in ("POINT", "TEXT", "VECTOR")]
+        if not scalars:
+            raise SemanticError("a table takes a scalar column to be laid out by")
+        if sum(BYTES.get(c["type"], 4 * (c["size"] or 8)) for c in s["columns"]) + RECORD_OWN > RECORD_MOST:
+            raise SemanticError(f"a record has {RECORD_MOST} bytes at most")
+        ordered_by = next((c["name"] for c in s["columns"] if c["key"]), scalars[0])
+        table = Table(s["table"], s["columns"], None, True, 0, s["using"] or "HASH", ordered_by=ordered_by, folder=f"{self.warehouse}/{s['table']}-{uuid.uuid4().hex[:12]}", rows=0)
         self._opened(table)
         self.tables[s["table"]] = table
         return Result("create_table", affected=0)
@@ -562,7 +594,7 @@ class Engine:
         path = f"{table.folder}/v{table.version + 1}"
         writer = self._laid_out(table, frame).write.mode("overwrite")
         for c in table.columns:
-            if c["key"] and table.layout == "HASH" or any(i["method"] == "HASH" and i["column"] == c["name"] for i in table.indexes.values()):
+            if c["name"] == table.ordered_by and table.layout == "HASH" or any(i["method"] == "HASH" and i["column"] == c["name"] for i in table.indexes.values()):
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c['name']}", "true")
         writer.parquet(path)
         table.version += 1
@@ -579,9 +611,9 @@ class Engine:
 
         Ranges and row groups then hold few keys or tiles each, and scans skip the others.
         """
-        key = next((c["name"] for c in table.columns if c["key"]), None)
+        key = table.ordered_by
         point = next((c["name"] for c in table.columns if c["type"] == "POINT"), None)
-        if key and table.layout in ("BPLUS", "BPLUS_CLUSTERED"):
+        if table.layout in ("BPLUS", "BPLUS_CLUSTERED"):
             order = [F.col(f"`{key}`")]
         elif point:
             order = [F.floor(F.col(f"`{point}`.{x}") / TILE) for x in ("lat", "lon")]
@@ -807,11 +839,11 @@ class Engine:
                 continue
             if p["is"] == "inside" or left.get("expr") == "distance" and known["type"] == "POINT" and p.get("op") in ("<", "<="):
                 return Node("Spatial Index Scan", table.name, None, [f"Tiles of {column}"], max(1, round(rows * share(p, table))), label=label)
-            sorted_by = known["key"] and table.layout in ("BPLUS", "BPLUS_CLUSTERED")
+            sorted_by = column == table.ordered_by and table.layout in ("BPLUS", "BPLUS_CLUSTERED")
             index = next((n for n, i in table.indexes.items() if i["column"] == column and i["method"] in ("HASH", "BPLUS")), None)
             equal = p["is"] == "compare" and p["op"] == "=" and "value" in p
             ranged = p["is"] == "between" or p["is"] == "compare" and p["op"] in ("<", "<=", ">", ">=") and "value" in p
-            if equal and (known["key"] or index) or ranged and sorted_by:
+            if equal and (column == table.ordered_by or index) or ranged and sorted_by:
                 return Node("Index Scan", table.name, index or f"{table.name}_key", [f"Condition on {column}"], max(1, round(rows * share(p, table))), label=label)
         return Node("Seq Scan", table.name, rows=rows, label=label)
 

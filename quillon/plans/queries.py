@@ -270,7 +270,7 @@ _SIMILAR = {
 
 def _knn(metric: str, where: str = "true", k: int = 10) -> str:
     d, score = _SIMILAR[metric]
-    return f"SELECT query_id, vec_id, r AS rank, round({score}, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS own, {d} AS d FROM (SELECT *, {_V} AS v FROM embeddings WHERE {where}) e, (SELECT *, {_V} AS v FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE r <= {k}"
+    return f"SELECT query_id, vec_id, r::INT AS rank, round({score}, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS own, {d} AS d FROM (SELECT *, {_V} AS v FROM embeddings WHERE {where}) e, (SELECT *, {_V} AS v FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE r <= {k}"
 
 
 _ASSIGN = f"(SELECT e.label, c.vec_id::INT AS word, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS r FROM embeddings e, embeddings c WHERE c.vec_id < 8)"

@@ -48,10 +48,8 @@ def import_csv(engine: Engine, path: str, table: str, layout: str = "HASH", key:
     made = engine.tables[table]
     kept = numbered(rows, "_line", RID)
     typed = kept.select(*[F.col(c["name"]).cast(TYPES[c["type"]]).alias(c["name"]) for c in columns], F.col(RID).cast("long").alias(RID))
-    next(c for c in made.columns if c["name"] == key)["key"] = layout != "HASH"  # rows are laid out by it
+    made.ordered_by = key  # by which rows are laid out; imported ones may repeat it
     engine.add_rows(made, typed, rows.count())
-    for c in made.columns:
-        c["key"] = False  # imported keys may repeat
     engine.run({"kind": "create_index", "name": f"{table}_{key}", "table": table, "column": key, "method": "HASH" if layout == "HASH" else "BPLUS", "options": {}})
     for c in columns:
         if c["type"] == "TEXT":

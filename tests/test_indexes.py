@@ -202,3 +202,19 @@ def test_score_alias_may_not_name_a_column(spark):
     calls = []
     e.attach("later", lambda: calls.append(1) or spark.range(3).toDF("id"))
     assert not calls and e.query("SELECT id FROM later").count() == 3 and e.query("SELECT id FROM later").count() == 3 and calls == [1]
+
+
+def test_records_layouts_and_reports(spark, tmp_path):
+    e = _engine(spark, tmp_path)
+    assert e.sql("CREATE TABLE a (p POINT, x TEXT)")[0].error and e.sql("CREATE TABLE a (id INT, x VARCHAR(1016))")[0].error
+    _ok(e.sql("CREATE TABLE a (id INT, x VARCHAR(1015)); CREATE TABLE b (x TEXT, k INT, v VECTOR(2)) USING BPLUS"))
+    assert e.tables["b"].ordered_by == "k"
+    e.load_rows("b", spark.range(500).selectExpr("concat('uno dos t', chr(97 + id % 5)) x", "id % 100 k", "array(id, 1) v", "id"), "id")
+    _ok(e.sql("CREATE INDEX w ON b (x) USING FULLTEXT; CREATE INDEX g ON b (v) USING HNSW; CREATE INDEX c ON b (v) USING IVF WITH (LISTS = 4)"))
+    files = e.layout_report("b").orderBy(F.col("least").cast("int")).collect()
+    assert sum(f.rows for f in files) == 500 and files[0].least == "0" and all(int(a.greatest) < int(b.least) for a, b in zip(files[:-1], files[1:], strict=True))
+    assert e.index_report("w").agg(F.sum("postings")).first()[0] >= 500
+    assert [(r.rows, r.links) for r in e.index_report("g").collect()] == [(500, 500 * 32)] and e.index_report("c").agg(F.sum("rows")).first()[0] == 500
+    assert e.layout_report("a").count() == 0
+    with pytest.raises(ValueError):
+        e.index_report("none")

@@ -2,7 +2,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillon.operators import features, identify, retrieval
 from quillon.plans.engine import Engine, SemanticError
