@@ -9,17 +9,20 @@ from .cluster import checkpointed
 
 
 #: Links of one node that a task meets, at least, and the nodes that may have more of them.
-PART, HUBS = 500, 10_000
+PART, HUBS = 100_000, 10_000
 
 
-def _with_least(rows: DataFrame, most: int) -> DataFrame:
+def _with_least(rows: DataFrame, most: int | None) -> DataFrame:
     """``rows(u, v)`` and ``m``, the smallest ``v`` of each ``u``.
 
     A node with over ``most`` rows is a hub: its rows are dealt by ``v`` to parts of about
     ``most``, each of which meets its own copy of the hub's smallest. Rows divided by
-    ``most`` bound the hubs, so they are few enough to be sent to every task.
+    ``most`` bound the hubs, so they are few enough to be sent to every task. None: no
+    node is a hub.
     """
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if most is None:
+        return rows.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("parts")))
     dealt = rows.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     copies = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int") - 1).otherwise(0))))
@@ -40,7 +43,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         most = max(PART, 2 * seen[0] // HUBS)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        if 2 * seen[0] <= most or both.groupBy("u").count().agg(F.max("count")).first()[0] <= most:
+            most = None  # nor has a node more links after the large star than before it
+        large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _with_least(large, most)
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpointed(hung.unionByName(small.where("v = m").select("u", "v")).distinct())

@@ -33,6 +33,8 @@ from .components import connected_components, spanning_links
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
 #: Shingles weigh as often as they occur, unless told otherwise.
 COUNTED = True
+#: Bytes, and texts, that are signed at once: a text throws some 1,800 darts, however short it is.
+PIECE_BYTES, PIECE_TEXTS = 2_000_000, 512
 #: Texts, and shingles, that a block holds, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 768, 1_500_000
 
@@ -117,7 +119,7 @@ def _elements(sets: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def _signed(batches, counted: bool):
     for batch in batches:
-        for piece in W.pieces(pa.Table.from_batches([batch]), "text", 2_000_000):
+        for piece in W.pieces(pa.Table.from_batches([batch]), "text", PIECE_BYTES, PIECE_TEXTS):
             sets, sizes, counts, whole, times = shingle_sets(piece["text"])
             n = len(sizes)
             owner = np.repeat(np.arange(n), sizes)

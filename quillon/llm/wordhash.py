@@ -124,8 +124,8 @@ def inside_texts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return first[owner] + within, owner
 
 
-def pieces(table: pa.Table, column: str, most: int = 4_000_000):
-    """Slices of ``table`` whose texts hold about ``most`` bytes, one text at least."""
+def pieces(table: pa.Table, column: str, most: int = 4_000_000, rows: int = 1 << 30):
+    """Slices of ``table`` of up to ``rows`` texts that hold about ``most`` bytes, one text at least."""
     if not table.num_rows:
         return
     array = as_strings(table[column])
@@ -133,6 +133,6 @@ def pieces(table: pa.Table, column: str, most: int = 4_000_000):
     offsets = np.frombuffer(where, np.int64)[array.offset : array.offset + len(array) + 1]
     at = 0
     while at < len(array):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield table.slice(at, to - at)
         at = to
