@@ -128,9 +128,13 @@ def stem_es(word: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan has fewer parts than those; large tables stay as they are."""
+    """Rows over all cores where a scan of few files has fewer parts than those.
+
+    Tables of as many files as cores stay as they are, and aren't planned for this.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df
 
 
 class _Words:
