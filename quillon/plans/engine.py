@@ -355,9 +355,9 @@ class Engine:
                 key = F.col("_score")
             else:
                 key = scope.value(s["order"])[0]
-            frame = frame.orderBy(*self._order(key, s["desc"], frame, scope))
+            frame = frame.orderBy(*self._order(key, s["desc"], scope, chosen))
         elif special:
-            frame = frame.orderBy(F.desc("_score"), *self._ties(frame, scope))
+            frame = frame.orderBy(F.desc("_score"), *self._ties(scope, chosen))
         if s["limit"] is not None:
             frame = frame.limit(s["limit"])
         return frame.select(*[F.col(f"`{c}`").alias(o) for c, o in chosen])
@@ -369,11 +369,25 @@ class Engine:
         self.counting[label] = Observation(label)
         return frame.observe(self.counting[label], F.count(F.lit(1)).alias("rows"))
 
-    def _ties(self, frame: DataFrame, scope: Scope) -> list[Column]:
-        return [F.col(f"`{a}.{RID}`") for a, t in scope.owners.items() if RID in t.frame.columns]
+    def _ties(self, scope: Scope, chosen: list[tuple[str, str]]) -> list[Column]:
+        """What decides between equal keys, so that LIMIT cuts alike however the files are split.
 
-    def _order(self, key: Column, desc: bool, frame: DataFrame, scope: Scope) -> list[Column]:
-        return [key.desc_nulls_first() if desc else key.asc_nulls_last(), *self._ties(frame, scope)]
+        Rows go by their serial number, in attached frames by their first column and then by what
+        is shown of them: numbers as they are, all else by a hash, as sort keys may reach the driver.
+        """
+        out, last = [], []
+        for a, t in scope.owners.items():
+            if RID in t.frame.columns:
+                out.append(F.col(f"`{a}.{RID}`"))
+                continue
+            data = {f"{a}.{f.name}": f.dataType for f in t.frame.schema if not any(w in f.dataType.simpleString() for w in ("map<", "variant"))}
+            first = f"{a}.{t.columns[0]['name']}"
+            out += [F.col(f"`{first}`")] if first in data else []
+            last += [F.col(f"`{c}`") if isinstance(data[c], T.NumericType) else F.xxhash64(f"`{c}`") for c, _ in chosen if c in data and c != first]
+        return out + last
+
+    def _order(self, key: Column, desc: bool, scope: Scope, chosen: list[tuple[str, str]]) -> list[Column]:
+        return [key.desc_nulls_first() if desc else key.asc_nulls_last(), *self._ties(scope, chosen)]
 
     def _ranked(self, s: dict, p: dict, frame: DataFrame, scope: Scope) -> tuple[DataFrame, str]:
         alias, table = next(iter(scope.owners.items()))

@@ -2,6 +2,7 @@ import pytest
 
 from quillon.functions.spatial import checked_polygon
 from quillon.functions.text import stem_es
+from quillon.plans import queries
 from quillon.plans.dialect import ParseError, parse
 from quillon.plans.engine import Engine
 
@@ -38,3 +39,20 @@ def test_match_drops_stop_words_and_stems(spark):
     assert found("banco") == {1, 2} and found("inflaciones") == {1} and found("los de la") == set()
     e.analysis = {}
     assert found("banco") == {2} and found("los de la") == {1, 2, 3}
+
+
+def test_customers_at_one_place_go_by_key_however_files_are_split(spark, tmp_path):
+    """knn: 90 customers at the centre; each split of the files gave seven others."""
+    spark.range(90_000).selectExpr("id AS c_custkey", "0.5d + id % 3 * 4000 AS c_acctbal").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    found = [r.c_custkey for r in queries.QUERIES["knn"](spark, str(tmp_path)).collect()]
+    assert found == [500, 1500, 2500, 3500, 4500, 5500, 6500]
+
+
+def test_rows_with_equal_keys_are_told_apart_by_what_is_shown(spark):
+    rows = [(1, x, f"n{x}", 1.0, {"k": x}) for x in range(40)]
+    shown = []
+    for order, parts in ((rows, 1), (rows[::-1], 3)):
+        e = Engine(spark)
+        e.attach("t", spark.createDataFrame(order, "g int, x int, n string, v double, m map<string, int>").repartition(parts))
+        shown.append([e.query(q).collect() for q in ("SELECT x FROM t ORDER BY v LIMIT 5", "SELECT n FROM t ORDER BY v DESC LIMIT 5", "SELECT * FROM t ORDER BY g LIMIT 5")])
+    assert shown[0] == shown[1] and [r.x for r in shown[0][0]] == [0, 1, 2, 3, 4]
