@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions.spatial import checked_polygon
 from quillon.functions.text import stem_es
@@ -48,6 +49,13 @@ def test_customers_at_one_place_go_by_key_however_files_are_split(spark, tmp_pat
     assert found == [500, 1500, 2500, 3500, 4500, 5500, 6500]
 
 
+def test_the_last_place_of_a_filtered_search_goes_by_key(spark, tmp_path):
+    """knn_filtered: eight customers at the centre pass, eight others share the next distance."""
+    spark.range(15_000).selectExpr("id AS c_custkey", "double(id) AS c_acctbal").where("c_custkey < 1000 OR c_custkey >= 7000").orderBy(F.desc("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = [r.c_custkey for r in queries.QUERIES["knn_filtered"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == [7499, *range(7500, 15_000, 1000)] and found[-1] == 7499
+
+
 def test_rows_with_equal_keys_are_told_apart_by_what_is_shown(spark):
     rows = [(1, x, f"n{x}", 1.0, {"k": x}) for x in range(40)]
     shown = []
